@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from speechtables.operators.regions import speech_regions
 from speechtables.plans.ordered import with_ordinal
 
 MINUTE_US = 60_000_000
@@ -95,6 +96,14 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select("recording_id", F.col("seq").alias("frame"), (F.col("value") / 500.0).alias("prob"))
 
 
+def regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Speech regions of the frames (end exclusive), numbered per recording."""
+    found = speech_regions(frames(spark, sf), bos=0.2, eos=0.1).select(
+        "recording_id", F.col("start_frame").alias("start"), (F.col("end_frame") + 1).alias("end")
+    )
+    return with_ordinal(found, ["recording_id"], ["start"], F.expr("start div 65536"))
+
+
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").select(
         (F.col("vec_id") % 10).alias("recording_id"),
@@ -188,6 +197,12 @@ _SQL = {
     "turns": """select recording_id, seq, us as start_us, us + cast(floor(value * 200) as bigint) * 1000000 as end_us,
         cast(event_id % 2 as integer) as speaker from ev""",
     "frames": "select recording_id, seq as frame, value / 500.0::double as prob from ev",
+    "frame_states": """select *, coalesce(last_value(case when prob >= 0.2 then 1 when prob < 0.1 then 0 end ignore nulls)
+            over (partition by recording_id order by frame rows unbounded preceding), 0) as active from frames""",
+    "regions": """select recording_id, min(frame) as start, max(frame) + 1 as "end",
+            row_number() over (partition by recording_id order by min(frame)) - 1 as seq
+        from (select *, sum(1 - active) over (partition by recording_id order by frame) as run from frame_states)
+        where active = 1 group by recording_id, run""",
     "emb": """select vec_id % 10 as recording_id, vec_id // 10 as seg_idx, cast(embedding as double[]) as vec, label
         from embeddings""",
     "lang_probs": """select doc_id % 50 as recording_id, doc_id as seg, lang as language, n_chars % 100 as pct
@@ -217,6 +232,8 @@ _NEEDS = {
     "words": ["segments", "word_list"],
     "turns": ["ev"],
     "frames": ["ev"],
+    "frame_states": ["ev", "frames"],
+    "regions": ["ev", "frames", "frame_states"],
     "candidates": ["ev"],
 }
 
@@ -230,6 +247,8 @@ def sql(names: str, query: str) -> str:
                 wanted.append(each)
     heads = ",\n".join(f"{name} as ({_SQL[name]})" for name in wanted)
     query = query.strip()
+    if query.lower().startswith("with recursive "):
+        return f"with recursive {heads},\n{query[15:]}"
     if query.lower().startswith("with "):
         return f"with {heads},\n{query[5:]}"
     return f"with {heads}\n{query}"

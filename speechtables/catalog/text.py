@@ -145,7 +145,7 @@ def ratios(spark, sf):
     t.sql(
         "words",
         """select recording_id, seq, pos, probability * (pos + 1) / (pos + 2) as avg_logprob,
-            (start_ms + end_ms) / 2 as mid_ms, start_ms * 16 as sample, cast(round_even(start_ms / 1000.0::double * 100, 0) as bigint) as frame,
+            (start_ms + end_ms) / 2 as mid_ms, cast(floor(start_ms / 1000.0::double * 16000) as bigint) as sample, cast(round_even(start_ms / 1000.0::double * 100, 0) as bigint) as frame,
             (case when probability < 0.15 then 1.0::double else 0.0::double end)
              + (case when d < 0.133 then (0.133::double - d) * 15 else 0.0::double end)
              + (case when d > 2.0 then d - 2.0::double else 0.0::double end) as anomaly
@@ -160,7 +160,7 @@ def scores(spark, sf):
         "pos",
         times.average_log_prob(F.col("probability"), F.col("pos") + 1).alias("avg_logprob"),
         times.word_anchor(F.col("start_ms"), F.col("end_ms"), "mid").alias("mid_ms"),
-        times.seconds_to_samples(F.col("start_ms") / F.lit(1000)).alias("sample"),
+        times.seconds_to_samples(F.col("start_ms") / 1000.0).alias("sample"),
         times.seconds_to_frames(F.col("start_ms") / 1000.0).alias("frame"),
         times.word_anomaly(F.col("probability"), d).alias("anomaly"),
     )

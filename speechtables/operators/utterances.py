@@ -49,7 +49,7 @@ def reconstruct(
     else:
         marked = scan(segments, keys, [seq], row_block(seq, rows), prev=before)
     opens = F.col("__ps").isNull() | ~F.col("__ps.v").eqNullSafe(F.col(speaker))
-    runs = run_ids(marked.drop("__ps").withColumn("__opens", opens), keys, seq, F.col("__opens"), rows=rows)
+    runs = run_ids(marked.withColumn("__opens", opens).drop("__ps"), keys, seq, F.col("__opens"), rows=rows)
     pieces = runs.groupBy(*keys, "run", row_block(seq, rows).alias("__block")).agg(
         F.min(seq).alias(seq),
         F.min_by(start, seq).alias(start),

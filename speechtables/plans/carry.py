@@ -66,7 +66,8 @@ def fold(
 
 def _pair(base: DataFrame, blocks: DataFrame, keys: list[str]):
     by = [*keys, _BLOCK]
-    return base.groupBy(*by).cogroup(blocks.groupBy(*by))
+    entries = blocks.select(*[F.col(c).alias(f"__e_{c}") for c in by], "__state", "__last")
+    return base.groupBy(*by).cogroup(entries.groupBy(*[f"__e_{c}" for c in by]))
 
 
 def _settle(base: DataFrame, blocks: DataFrame, keys: list[str], order: list[str], step: Step) -> DataFrame:
