@@ -16,6 +16,7 @@ from speechtables.plans.intervals import points_in_intervals
 from speechtables.plans.ordered import BLOCK_ROWS, neighbours, row_block, run_ids, scan
 from speechtables.plans.ranges import explode_count
 from speechtables.plans.skew import spread_lookup
+from speechtables.session import cut_lineage
 
 KEYS = ("recording_id",)
 
@@ -166,7 +167,7 @@ def cut_long_regions(
         return out, json.dumps(memory) if memory else ""
 
     pieces = fold(
-        inside,
+        cut_lineage(inside),
         keys,
         ["frame"],
         row_block("frame", rows),
@@ -322,7 +323,8 @@ def merge_regions(
         return pd.DataFrame(found, columns=["start", "end"]), json.dumps(opened)
 
     kind = regions.schema["start"].dataType.simpleString()
-    return fold(regions.select(*keys, seq, "start", "end"), keys, [seq], row_block(seq, rows), step, f"start {kind}, end {kind}")
+    slim = cut_lineage(regions.select(*keys, seq, "start", "end"))
+    return fold(slim, keys, [seq], row_block(seq, rows), step, f"start {kind}, end {kind}")
 
 
 def pad_edges(segments: DataFrame, padding: float, keys: Sequence[str] = KEYS, seq: str = "seq", rows: int = BLOCK_ROWS) -> DataFrame:
@@ -351,7 +353,7 @@ def pack_by_span(segments: DataFrame, size: float, keys: Sequence[str] = KEYS, s
 
     kind = segments.schema["start"].dataType.simpleString()
     return fold(
-        segments.select(*keys, seq, "start", "end"),
+        cut_lineage(segments.select(*keys, seq, "start", "end")),
         keys,
         [seq],
         row_block(seq, rows),
@@ -377,7 +379,7 @@ def pack_by_speech(segments: DataFrame, size: float, keys: Sequence[str] = KEYS,
 
     kind = segments.schema["start"].dataType.simpleString()
     return fold(
-        segments.select(*keys, seq, "start", "end"),
+        cut_lineage(segments.select(*keys, seq, "start", "end")),
         keys,
         [seq],
         row_block(seq, rows),
