@@ -149,14 +149,10 @@ def formatted(spark, sf):
 
 @job(
     "responses_without_words_p6",
-    t.sql(
-        "segments",
-        """select recording_id, list({'seq': seq, 'text': text, 'speaker': speaker} order by seq) as utterances from segments group by recording_id""",
-    ),
+    t.sql("segments", """select recording_id, seq, [{'text': text, 'speaker': speaker}] as utterances from segments"""),
 )
 def without_words(spark, sf):
-    item = F.struct("seq", "text", "speaker", "words")
-    responses = word_segments(spark, sf).groupBy("recording_id").agg(F.array_sort(F.collect_list(item)).alias("utterances"))
+    responses = word_segments(spark, sf).select("recording_id", "seq", F.array(F.struct("text", "speaker", "words")).alias("utterances"))
     return op.drop_words(responses)
 
 
@@ -201,30 +197,26 @@ def engine_rows(spark, sf):
 @job(
     "channels_to_speakers_p19",
     t.sql(
-        "segments",
-        """select recording_id, cast(speaker as integer) as speaker, cast(row_number() over (partition by recording_id, speaker order by seq) - 1 as integer) as seq, text from segments""",
+        "words",
+        """select recording_id, seq as part, cast(pos % 2 as integer) as speaker, cast(pos // 2 as integer) as seq, word as text from words""",
     ),
 )
 def channel_speakers(spark, sf):
-    per = t.segments(spark, sf).groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("seq", "speaker", "text"))).alias("s"))
-    split = per.select(
-        "recording_id",
-        F.array(F.filter("s", lambda x: x["speaker"] == 0), F.filter("s", lambda x: x["speaker"] == 1)).alias("channels"),
-    )
-    return op.channels_to_speakers(split).select("recording_id", "speaker", "seq", F.col("segment.text").alias("text"))
+    even, odd = (F.filter("words", lambda w, i: i % 2 == 0), F.filter("words", lambda w, i: i % 2 == 1))
+    split = word_segments(spark, sf).select("recording_id", F.col("seq").alias("part"), F.array(even, odd).alias("channels"))
+    return op.channels_to_speakers(split).select("recording_id", "part", "speaker", "seq", F.col("segment.word").alias("text"))
 
 
 @job(
     "chunk_results_j7",
     t.sql(
         "segments jobs",
-        """select job as file_id, r.results from jobs left join (select recording_id, list(upper(lang) || '-' || seq order by seq) as results
-            from (select recording_id, seq, case speaker when 0 then 'a' else 'b' end as lang from segments) group by recording_id) r on job = recording_id""",
+        """select job as file_id, seq, case speaker when 0 then 'A-' when 1 then 'B-' end || seq as result from jobs left join segments on recording_id = job""",
     ),
 )
 def chunk_results(spark, sf):
     chunks = t.segments(spark, sf).select(F.col("recording_id").alias("file_id"), "seq")
     results = t.segments(spark, sf).select(
-        F.col("recording_id").alias("file_id"), "seq", F.concat(F.when(F.col("speaker") == 0, "A").otherwise("B"), F.lit("-"), F.col("seq").cast("string")).alias("result")
+        F.col("recording_id").alias("file_id"), "seq", F.concat(F.when(F.col("speaker") == 0, "A-").otherwise("B-"), F.col("seq").cast("string")).alias("result")
     )
-    return op.collect_results(t.jobs(spark, sf).select(F.col("job").alias("file_id")), chunks, results)
+    return op.scatter_results(t.jobs(spark, sf).select(F.col("job").alias("file_id")), chunks, results)

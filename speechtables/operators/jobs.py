@@ -213,8 +213,8 @@ def channels_to_speakers(recordings: DataFrame, channels: str = "channels") -> D
     return each.select(*[c for c in each.columns if c != "__segments"], F.posexplode("__segments").alias("seq", "segment"))
 
 
-def collect_results(files: DataFrame, chunks: DataFrame, results: DataFrame) -> DataFrame:
-    """Chunk results put back to their files, in order (also files without any result)."""
-    text = F.array_sort(F.collect_list(F.struct("seq", "result")))
-    per_file = chunks.join(results, ["file_id", "seq"]).groupBy("file_id").agg(F.transform(text, lambda r: r["result"]).alias("results"))
-    return files.join(per_file, "file_id", "left")
+def scatter_results(files: DataFrame, chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """Chunk results brought back to their files: one row per chunk in ``seq`` order within the file
+    (a file without chunks keeps one row without result)."""
+    found = chunks.join(results, ["file_id", "seq"])
+    return files.join(found, "file_id", "left")
