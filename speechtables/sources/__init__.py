@@ -1,0 +1 @@
+"""Reading requests and responses, writing responses, events, manifests and reports."""
