@@ -28,8 +28,7 @@ def job(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers jobs."""
-    from importlib import import_module, util
+    from importlib import import_module
 
-    for module in ("turns", "text", "jobs", "regions", "speakers", "words", "selection", "scoring", "affinity", "io"):
-        if util.find_spec(f"speechtables.catalog.{module}"):
-            import_module(f"speechtables.catalog.{module}")
+    for module in ("turns", "text", "jobs", "regions", "speakers", "words", "selection", "scoring", "affinity", "io", "streams"):
+        import_module(f"speechtables.catalog.{module}")

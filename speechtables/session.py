@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,15 +30,22 @@ def build_session(app: str = "speechtables", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session without
-    that setting (local tests) gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``. Only a
+    session without that setting (local tests) gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="speechtables-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one, for the files of one run."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

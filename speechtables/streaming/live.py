@@ -86,18 +86,9 @@ def upsert_status(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-class OpenUtterance:
-    """State of a recording whose last utterance may still grow."""
-
-    schema = "payload string"
-
-    def __init__(self) -> None:
-        self.seq = self.start = self.end = self.speaker = None
-        self.text = ""
-
-
-def incremental_utterances(segments: DataFrame, key: str = "recording_id", idle_ms: int = 60_000) -> DataFrame:
-    """Utterances closed as soon as the speaker changes, or when a recording stays silent.
+def incremental_utterances(segments: DataFrame, key: str = "recording_id", idle_ms: int | None = None) -> DataFrame:
+    """Utterances closed as soon as the speaker changes and, with ``idle_ms``, when a recording stays
+    silent that long (timers keep a stream going, so leave them out with ``availableNow``).
 
     Segments of a batch are put in order of ``seq``; the open utterance waits in a value state.
     """
@@ -108,7 +99,7 @@ def incremental_utterances(segments: DataFrame, key: str = "recording_id", idle_
             self.handle = handle
             self.open = handle.getValueState("open", "payload string")
 
-        def handleInputRows(self, key, rows, timer_values):
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N803
             table = pd.concat(list(rows)).sort_values("seq")
             held = json.loads(self.open.get()[0]) if self.open.exists() else None
             done = []
@@ -120,12 +111,13 @@ def incremental_utterances(segments: DataFrame, key: str = "recording_id", idle_
                     done.append(held)
                 held = {"seq": int(row.seq), "start": int(row.start), "end": int(row.end), "speaker": int(row.speaker), "text": row.text + " "}
             self.open.update((json.dumps(held),))
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + idle_ms)
+            if idle_ms is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_ms)
             yield self._table(key, done)
 
-        def handleExpiredTimer(self, key, timer_values, expired_timer_info):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N803
             held = json.loads(self.open.get()[0]) if self.open.exists() else None
             self.open.clear()
             yield self._table(key, [held] if held else [])
@@ -143,7 +135,7 @@ def incremental_utterances(segments: DataFrame, key: str = "recording_id", idle_
         statefulProcessor=Utterances(),
         outputStructType="recording_id bigint, seq bigint, start bigint, end bigint, speaker int, text string",
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="None" if idle_ms is None else "ProcessingTime",
     )
 
 
