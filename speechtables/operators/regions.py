@@ -145,7 +145,7 @@ def cut_long_regions(
         for (region, end), part in rows.groupby(["start_frame", "end_frame"], sort=True):
             region, end = int(region), int(end)
             first_frame, probs = int(part["frame"].iloc[0]), part["prob"].to_numpy()
-            start = region
+            start = first_frame  # the region's first frame, or a guess where the block begins inside it
             if memory and memory["region"] == region:
                 start = memory["start"]
                 probs = np.concatenate([np.array(memory["probs"], dtype=float), probs])

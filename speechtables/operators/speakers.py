@@ -196,45 +196,52 @@ def realign_by_sentence(
     back = max_words + 2
 
     def step(rows: pd.DataFrame, state: str, last: bool):
-        memory = json.loads(state) if state else {"done": 0, "k": 0, "pos": [], "word": [], "spk": []}
+        memory = json.loads(state)
+        begin, k = memory["begin"], memory["k"]  # whether the recording starts here; next word to look at
         pos = memory["pos"] + rows[at].tolist()
         word = memory["word"] + rows["word"].tolist()
         spk = memory["spk"] + rows["speaker"].tolist()
-        done, k = memory["done"], memory["k"]  # words already given out; next word (global) to look at
-        total = done + len(word)
+        total = len(word)
 
         def ends(i: int) -> bool:
-            return word[i - done][-1:] in (".", "?", "!")
+            return word[i][-1:] in (".", "?", "!")
 
         while k < total and (last or k + max_words + 1 < total):
-            here = k - done
-            k += 1
-            if k >= total or spk[here] == spk[here + 1] or ends(k - 1):
+            here, k = k, k + 1
+            if k >= total or spk[here] == spk[k] or ends(here):
                 continue
-            left = k - 1
-            while left > 0 and k - 1 - left < max_words and spk[left - 1 - done] == spk[left - done] and not ends(left - 1):
+            left = here
+            while left > 0 and here - left < max_words and spk[left - 1] == spk[left] and not ends(left - 1):
                 left -= 1
-            if left > 0 and not ends(left - 1):
+            if not (ends(left - 1) if left > 0 else begin):
                 continue
-            room = max_words - (k - 1) + left - 1
-            right = k - 1
-            while right < total and right - (k - 1) < room and not ends(right):
+            room = max_words - here + left - 1
+            right = here
+            while right < total and right - here < room and not ends(right):
                 right += 1
-            if right >= total or not (right == total - 1 or ends(right)):
+            if right >= total or not (ends(right) or (last and right == total - 1)):
                 continue
-            labels = spk[left - done : right + 1 - done]
+            labels = spk[left : right + 1]
             top, votes = min(Counter(labels).items(), key=lambda item: (-item[1], item[0]))
             if votes < len(labels) // 2:
                 continue
-            spk[left - done : right + 1 - done] = [top] * len(labels)
+            spk[left : right + 1] = [top] * len(labels)
             k = right + 1
-        give = len(word) if last else max(0, min(k, total) - back - done)
+        give = total if last else max(0, min(k, total) - back)
         out = pd.DataFrame({at: pos[:give], "word": word[:give], "speaker": spk[:give]})
-        rest = {"done": done + give, "k": k, "pos": pos[give:], "word": word[give:], "spk": spk[give:]}
+        rest = {"begin": begin and give == 0, "k": k - give, "pos": pos[give:], "word": word[give:], "spk": spk[give:]}
         return out, json.dumps(rest)
 
+    empty = {"k": 0, "pos": [], "word": [], "spk": []}
     return fold(
-        cut_lineage(words.select(*keys, at, "word", "speaker")), keys, [at], row_block(at, rows), step, f"{at} bigint, word string, speaker int"
+        cut_lineage(words.select(*keys, at, "word", "speaker")),
+        keys,
+        [at],
+        row_block(at, rows),
+        step,
+        f"{at} bigint, word string, speaker int",
+        initial=json.dumps({"begin": True, **empty}),
+        guess=json.dumps({"begin": False, **empty}),
     )
 
 

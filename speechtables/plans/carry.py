@@ -30,11 +30,14 @@ def fold(
     step: Step,
     schema: str,
     initial: str = "",
+    guess: str | None = None,
 ) -> DataFrame:
     """Run ``step(rows, state, is_last) -> (output rows, next state)`` along each recording.
 
-    ``rows`` are the rows of one block in order, ``state`` a canonical string. ``schema`` describes
-    the output without the keys, which are put in front.
+    ``rows`` are the rows of one block in order, ``state`` a canonical string: ``initial`` for the first
+    block of a recording, at first ``guess`` for the others. A state should hold nothing that grows
+    along the recording (counters, absolute positions), so that a wrong guess is forgotten.
+    ``schema`` describes the output without the keys, which are put in front.
     """
     keys, order = list(keys), list(order)
     base = df.withColumn(_BLOCK, block)
@@ -44,7 +47,7 @@ def fold(
         _BLOCK,
         F.lag(_BLOCK).over(chain).alias("__before"),
         F.lead(_BLOCK).over(chain).isNull().alias("__last"),
-        F.lit(initial).alias("__state"),
+        F.when(F.lag(_BLOCK).over(chain).isNull(), F.lit(initial)).otherwise(F.lit(initial if guess is None else guess)).alias("__state"),
     )
     if not blocks.filter(F.col("__before").isNotNull()).isEmpty():
         blocks = _settle(base, blocks, keys, order, step)
