@@ -204,7 +204,8 @@ def short_counts(spark, sf):
 @job("speaker_clusters_c12")
 def clusters(spark, sf):
     rows = _rows(spark, sf)
-    return op.cluster_speakers(rows, op.neighbour_search(rows))
+    counts = op.choose_counts(op.neighbour_search(rows), short=op.count_speakers_short(t.embeddings(spark, sf)))
+    return op.cluster_speakers(rows, counts)
 
 
 @job("multi_scale_speaker_clusters_c12_c4")

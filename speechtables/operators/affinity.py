@@ -326,6 +326,8 @@ def is_connected(graph: np.ndarray) -> bool:
 
 def eigen_gap(affinity: np.ndarray, p: int, most: int) -> tuple[float, int, bool]:
     """For ``p`` neighbours: ratio of ``p`` to the widest eigengap, speakers it suggests, connectivity."""
+    if len(affinity) == 1:
+        return 1 / EPS, 1, True
     graph = neighbour_graph(affinity, p)
     values = spectrum(graph)
     gaps = np.diff(values)[:most]
@@ -518,6 +520,18 @@ def spectral_labels(graph: np.ndarray, k: int) -> np.ndarray:
     return k_means(vectors[:, :k][:, ::-1], k)
 
 
+def choose_counts(search: DataFrame, short: DataFrame | None = None, known: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Speakers per recording: the known number if positive, else the count for short recordings, else
+    that of the neighbour search (which also brings the neighbours to keep)."""
+    out = search
+    order = [F.col("speakers")]
+    for other, name in ((short, "__short"), (known, "__known")):
+        if other is not None:
+            out = out.join(other.select(*keys, F.col("speakers").alias(name)), list(keys), "left")
+            order.insert(0, F.when(F.col(name) > 0, F.col(name)))
+    return out.withColumn("speakers", F.coalesce(*order).cast("int")).drop("__short", "__known")
+
+
 # Rows up to which a recording is clustered in one task (a matrix of 32 MB); longer ones are clustered
 # on evenly spaced windows, and every window takes the cluster whose mean it is most similar to.
 CLUSTER_ROWS = 2048
