@@ -30,5 +30,5 @@ def load() -> None:
     """Import every module that registers jobs."""
     from importlib import import_module
 
-    for module in ("turns", "text", "jobs", "regions", "speakers", "words", "selection", "scoring", "affinity", "io", "streams"):
+    for module in ("turns", "text", "jobs", "regions", "speakers", "words", "selection", "scoring", "affinity", "io", "streams", "responses"):
         import_module(f"speechtables.catalog.{module}")

@@ -61,7 +61,7 @@ def batch_scores(spark, sf):
     ),
 )
 def affinity_rows(spark, sf):
-    return op.row_summary(_rows(spark, sf), tile=16).withColumn("total", F.floor(F.col("total") * 1e6 + 0.5))
+    return op.row_summary(_rows(spark, sf)).withColumn("total", F.floor(F.col("total") * 1e6 + 0.5))
 
 
 @job(
@@ -69,13 +69,13 @@ def affinity_rows(spark, sf):
     t.sql("emb", f"with {_SIMS} select recording_id, cast(0 as integer) as scale, cast(floor(min(sim) * 1e9 + 0.5) as bigint) as lo, cast(floor(max(sim) * 1e9 + 0.5) as bigint) as hi from sims group by recording_id"),
 )
 def affinity_range(spark, sf):
-    found = op.affinity_range(_rows(spark, sf), tile=16)
+    found = op.affinity_range(_rows(spark, sf))
     return found.withColumn("lo", F.floor(F.col("lo") * 1e9 + 0.5)).withColumn("hi", F.floor(F.col("hi") * 1e9 + 0.5))
 
 
 @job("neighbour_edges_c5_o3", t.sql("emb", f"with {_EDGES} select * from edges"))
 def edges(spark, sf):
-    return op.neighbour_edges(_rows(spark, sf), 5, tile=16)
+    return op.neighbour_edges(_rows(spark, sf), 5)
 
 
 # ---- two scales: every vector is a base window, every second one also a coarse window -------
@@ -147,13 +147,13 @@ def scale_labels(spark, sf):
 )
 def fused(spark, sf):
     rows = op.multi_scale(base_windows(spark, sf), _mapping(spark, sf), scale_embeddings(spark, sf))
-    found = op.neighbour_edges(rows, 4, weights=(0.7, 1.3), ranges=_ranges(spark, sf), method="drop", tile=16)
+    found = op.neighbour_edges(rows, 4, weights=(0.7, 1.3), ranges=_ranges(spark, sf), method="drop")
     return found.select(*KEY, "i", "j", F.floor(F.col("weight") * 1e6 + 0.5).alias("sim"))
 
 
 def _ranges(spark, sf):
     per_scale = op.single_scale(scale_embeddings(spark, sf).withColumnRenamed("scale", "at_scale"), keys=[*KEY, "at_scale"], index="seg")
-    found = op.affinity_range(per_scale, keys=[*KEY, "at_scale"], tile=16)
+    found = op.affinity_range(per_scale, keys=[*KEY, "at_scale"])
     return found.select(*KEY, F.col("at_scale").alias("scale"), "lo", "hi")
 
 

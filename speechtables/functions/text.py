@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Unicode counts as white space, in regular-expression notation.
-WHITESPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0  -     　]"
+# The characters that count as white space: whatever Unicode says (the last one is U+3000).
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+WHITESPACE = f"[{BLANKS}]"
 
 # Marks that may end an utterance, and marks no blank may precede.
 CLOSING_MARKS = [".", "?", "!", ":", ";", ","]
@@ -15,7 +16,7 @@ TIGHT_MARKS = ["?", "!", ".", ",", ":", ";"]
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def is_blank(text: Column) -> Column:
@@ -24,26 +25,25 @@ def is_blank(text: Column) -> Column:
 
 def is_empty_string(text: Column) -> Column:
     """True when only white space and full stops are there."""
-    return F.regexp_replace(text, f"[.]|{WHITESPACE}", "") == ""
+    return F.translate(text, BLANKS + ".", "") == ""
 
 
 def format_punct(text: Column) -> Column:
     """Readable utterance text: capital first letter, closing mark, no ``...``, no blank before
     marks, single blanks, ``I`` for a lone ``i``. The order of the steps decides the result."""
-    out = strip(text)
-    out = _capitalised(out)
-    out = F.when(F.substring(out, -1, 1).isin(CLOSING_MARKS), out).otherwise(F.concat(out, F.lit(".")))
+    # the array of one text names the stripped text, so that it is worked out once
+    out = F.transform(F.array(strip(text)), _begin_and_close)[0]
     out = F.replace(out, F.lit("..."), F.lit(""))
     for mark in TIGHT_MARKS:
         out = F.replace(out, F.lit(f" {mark}"), F.lit(mark))
-    out = F.regexp_replace(out, f"{WHITESPACE}+", " ")
+    out = F.regexp_replace(F.translate(out, BLANKS, " " * len(BLANKS)), " {2,}", " ")
     out = F.regexp_replace(out, r"(?<![\p{L}\p{N}_])i(?![\p{L}\p{N}_])", "I")
     return strip(out)
 
 
-def _capitalised(x: Column) -> Column:
-    first = F.substring(x, 1, 1)
-    return F.concat(F.upper(first), F.substring(x, F.lit(2), F.length(x)))
+def _begin_and_close(x: Column) -> Column:
+    closed = F.when(F.substring(x, -1, 1).isin(CLOSING_MARKS), F.lit("")).otherwise(F.lit("."))
+    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)), closed)
 
 
 def compact_words(text: Column) -> Column:

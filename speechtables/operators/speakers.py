@@ -62,7 +62,7 @@ def segments_to_turns(
         *keys, "seq", "end", "speaker", F.col("__n").isNull().alias("last"), F.col("__p").isNull().alias("first")
     )
     heads = segments.select(*keys, "seq", F.lit(-1).alias("pos"), "start", F.col("end").alias("segment_end"))
-    points = heads.unionByName(words.select(*keys, "seq", "pos", "start"), allowMissingColumns=True)
+    points = heads.unionByName(words.select(*keys, "seq", "pos", "start", "end"), allowMissingColumns=True)
     looked = next_mark(
         points.withColumn("__at", F.col("start") + threshold), "__at", marks, "end", keys, ["seq"], width
     )
@@ -74,6 +74,8 @@ def segments_to_turns(
         *keys,
         "seq",
         "pos",
+        "start",
+        "end",
         (F.col("mark.seq") + (only & past).cast("bigint")).alias("turn"),
         F.when(~endless, F.col("mark.end")).alias("turn_end"),
         endless.alias("endless"),
@@ -95,8 +97,7 @@ def segments_to_turns(
     numbered = placed.withColumn(
         "piece", F.when(F.col("__extra"), 0).otherwise(F.sum(F.when(F.col("__extra"), 0).otherwise(F.col("__cut"))).over(inside))
     )
-    timed = numbered.join(words.select(*keys, "seq", "pos", "start", "end"), [*keys, "seq", "pos"], "left")
-    pieces = timed.groupBy(*keys, "seq", "piece").agg(
+    pieces = numbered.groupBy(*keys, "seq", "piece").agg(
         F.min_by(F.struct("turn", "endless", "speaker"), "pos").alias("turn"),
         F.min(F.when(F.col("pos") >= 0, F.col("pos"))).alias("first_pos"),
         F.max("pos").alias("last_pos"),
