@@ -82,13 +82,13 @@ def utterances(spark, sf):
     t.sql(
         "segments",
         """with marked as (select *, lag(speaker) over (partition by recording_id order by seq) as ps from segments)
-        select recording_id, string_agg(case when ps is null then 'Speaker ' || speaker || ': '
-            when ps <> speaker then chr(10) || chr(10) || 'Speaker ' || speaker || ': ' else '' end || text || ' ', '' order by seq) as transcript
-        from marked group by recording_id""",
+        select recording_id, seq, case when ps is null then 'Speaker ' || speaker || ': '
+            when ps <> speaker then chr(10) || chr(10) || 'Speaker ' || speaker || ': ' else '' end || text || ' ' as line
+        from marked""",
     ),
 )
 def speaker_transcript(spark, sf):
-    return utt.transcript(t.segments(spark, sf))
+    return utt.transcript_lines(t.segments(spark, sf))
 
 
 @job("clean_text_f5", f"select doc_id, {punct_sql('text')} as text from documents where {strip_sql('text')} <> ''")

@@ -93,10 +93,14 @@ def finish(
     return out
 
 
-def transcript(
+def transcript_lines(
     sentences: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq", speaker: str = "speaker", text: str = "text", rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """One text per recording, a new paragraph ``Speaker n: `` at every change of speaker."""
+    """The transcript as ordered lines, a new paragraph ``Speaker n: `` at every change of speaker.
+
+    Joined in order of ``seq`` the lines give the text of a recording; they stay rows because a
+    recording may be too long for one value.
+    """
     marked = neighbours(sentences, keys, seq, prev={"__ps": F.col(speaker)}, rows=rows)
     head = F.concat(F.lit("Speaker "), F.col(speaker).cast("string"), F.lit(": "))
     line = F.concat(
@@ -104,6 +108,4 @@ def transcript(
         F.col(text),
         F.lit(" "),
     )
-    lines = marked.select(*keys, seq, line.alias("__line"))
-    pieces = lines.groupBy(*keys, row_block(seq, rows).alias("__block")).agg(join_text("__line", [seq], "").alias("__line"))
-    return pieces.groupBy(*keys).agg(join_text("__line", ["__block"], "").alias("transcript"))
+    return marked.select(*keys, seq, line.alias("line"))
