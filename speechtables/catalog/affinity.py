@@ -8,6 +8,7 @@ from speechtables.catalog import job
 from speechtables.catalog import tables as t
 from speechtables.operators import affinity as op
 from speechtables.operators import turns as turn_op
+from speechtables.session import cut_lineage
 
 KEY = ["recording_id"]
 
@@ -210,7 +211,7 @@ def clusters(spark, sf):
 
 @job("multi_scale_speaker_clusters_c12_c4")
 def fused_clusters(spark, sf):
-    rows = op.multi_scale(base_windows(spark, sf), _mapping(spark, sf), scale_embeddings(spark, sf))
+    rows = cut_lineage(op.multi_scale(base_windows(spark, sf), _mapping(spark, sf), scale_embeddings(spark, sf)))
     ranges, weights = _ranges(spark, sf), (0.7, 1.3)
     return op.cluster_speakers(rows, op.neighbour_search(rows, weights=weights, ranges=ranges), weights=weights, ranges=ranges)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from speechtables.catalog import job
 from speechtables.catalog import tables as t
 from speechtables.operators import turns as op
+from speechtables.plans.ordered import with_ordinal
 
 HOUR_US = 3_600_000_000
 
@@ -115,3 +116,14 @@ def overlap_speech(spark, sf):
         scores.alias("scores"),
     )
     return op.overlap_turns(windows, "scores", 4)
+
+
+@job(
+    "turns_numbered_o2_o7",
+    t.sql("ev", "select recording_id, event_id, us, row_number() over (partition by recording_id order by us, event_id) as id from ev"),
+)
+def turns_numbered(spark, sf):
+    rows = t.read(spark, sf, "events").select(
+        F.col("user_id").alias("recording_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    )
+    return with_ordinal(rows, ["recording_id"], ["us", "event_id"], F.expr(f"us div {t.MINUTE_US}"), name="id", base=1)

@@ -141,7 +141,8 @@ def affinity_range(rows: DataFrame, keys: Sequence[str] = KEYS, scales: int = 1,
 
     pairs = pair_up(pack(rows, keys, "i", "vectors", "owners", tile), keys)
     parts = per_pair(pairs, keys, summarise, "scale int, lo double, hi double")
-    return parts.groupBy(*keys, "scale").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # a small table behind quadratic work: written once, so that no later step repeats it
+    return cut_lineage(parts.groupBy(*keys, "scale").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
 
 
 def row_summary(rows: DataFrame, keys: Sequence[str] = KEYS, tile: int = TILE_ROWS) -> DataFrame:
@@ -225,21 +226,20 @@ def neighbour_edges(
 
 
 def symmetrise(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Half the sum of the graph and its transpose."""
-    turned = edges.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "weight")
-    both = edges.select(*keys, "i", "j", "weight").unionByName(turned)
-    return both.groupBy(*keys, "i", "j").agg((F.sum("weight") / 2).alias("weight"))
+    """Half the sum of the graph and its transpose (one pass over the edges)."""
+    ways = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    both = edges.select(*keys, "weight", F.explode(ways).alias("e"))
+    return both.groupBy(*keys, "e.i", "e.j").agg((F.sum("weight") / 2).alias("weight"))
 
 
 def laplacian(graph: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Degree on the diagonal, negative weights elsewhere (only non-zero entries; isolated nodes 0)."""
-    off = graph.filter(F.col("i") != F.col("j"))
-    degrees = graph.groupBy(*keys, "i").agg(
-        F.sum(F.when(F.col("i") != F.col("j"), F.abs("weight")).otherwise(F.lit(0.0))).alias("value")
-    )
-    return degrees.select(*keys, "i", F.col("i").alias("j"), "value").unionByName(
-        off.select(*keys, "i", "j", (-F.col("weight")).alias("value"))
-    )
+    """Degree on the diagonal, negative weights elsewhere (only non-zero entries; isolated nodes 0).
+    One pass over the graph: every edge adds to its row's degree and stands for itself."""
+    loop = F.col("i") == F.col("j")
+    degree = F.struct(F.col("i").alias("j"), F.when(loop, F.lit(0.0)).otherwise(F.abs("weight")).alias("value"))
+    entry = F.when(~loop, F.struct("j", (-F.col("weight")).alias("value")))
+    parts = graph.select(*keys, "i", F.explode(F.array_compact(F.array(degree, entry))).alias("e"))
+    return parts.groupBy(*keys, "i", "e.j").agg(F.sum("e.value").alias("value"))
 
 
 def components(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -250,6 +250,7 @@ def components(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     cut every round. Lookups are spread, so a hub does not end up in one task.
     """
     keys = list(keys)
+    edges = cut_lineage(edges.select(*keys, "i", "j"))
     nodes = edges.select(*keys, F.col("i").alias("node")).unionByName(edges.select(*keys, F.col("j").alias("node"))).distinct()
     links = cut_lineage(
         edges.filter(F.col("i") != F.col("j"))
@@ -552,7 +553,8 @@ def cluster_speakers(
     """
     keys = list(keys)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    plan = sizes.join(counts, keys).withColumn("stride", F.when(F.col("n") <= most, 1).otherwise(F.ceil(F.col("n") / (most // 2))))
+    stride = F.when(F.col("n") <= most, 1).otherwise(F.ceil(F.col("n") / (most // 2)))
+    plan = cut_lineage(sizes.join(counts, keys).withColumn("stride", stride))
     placed = spread_lookup(rows, plan, keys, F.col("i"))
     slim = _with_ranges(
         placed.filter(F.col("i") % F.col("stride") == 0).select(*keys, "i", "vectors", "owners", "p_full", "speakers", "stride"), ranges, keys
