@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from speechtables.operators.regions import speech_regions
 from speechtables.plans.ordered import with_ordinal
+from speechtables.session import cut_lineage
 
 MINUTE_US = 60_000_000
 
@@ -97,9 +98,14 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Speech regions of the frames (end exclusive), numbered per recording."""
-    found = speech_regions(frames(spark, sf), bos=0.2, eos=0.1).select(
-        "recording_id", F.col("start_frame").alias("start"), (F.col("end_frame") + 1).alias("end")
+    """Speech regions of the frames (end exclusive), numbered per recording.
+
+    Written once: what follows reads the few regions several times, not the frames.
+    """
+    found = cut_lineage(
+        speech_regions(frames(spark, sf), bos=0.2, eos=0.1).select(
+            "recording_id", F.col("start_frame").alias("start"), (F.col("end_frame") + 1).alias("end")
+        )
     )
     return with_ordinal(found, ["recording_id"], ["start"], F.expr("start div 65536"))
 
