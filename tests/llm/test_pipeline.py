@@ -1,0 +1,119 @@
+"""Every stage of the pipeline against plain loops on the rows its predecessor kept."""
+
+import re
+
+import pytest
+
+import corpus_pipeline
+from speechtables.llm import quality, queries
+from speechtables.llm.common import read_table, stored
+from tests.llm.helpers import documents, odd_texts, prose
+from tests.llm.test_packing import plain_ids
+from tests.llm.test_secrets import PLAIN, plain as plain_secrets
+from tests.llm.test_simhash import plain_classes, plain_print
+from tests.llm.test_suffixes import plain as plain_repeats
+
+SF = "/root/testdata/sf0.001"
+
+
+def as_rows(frame):
+    return {r["doc_id"]: r.asDict() for r in frame.collect()}
+
+
+@pytest.fixture(scope="module")
+def kept(spark):
+    """The documents before the first stage and after each one."""
+    docs = read_table(spark, SF, "documents")
+    out = [docs]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out.append(stored(stage(spark, out[-1], SF), f"test-{name}"))
+    return out
+
+
+def test_columns_stay(kept):
+    assert all(d.columns == kept[0].columns and d.schema == kept[0].schema for d in kept)
+
+
+def test_quality(spark, kept):
+    scored = quality.quality_scores(kept[0], read_table(spark, SF, "labels")).collect()
+    before = as_rows(kept[0])
+    assert as_rows(kept[1]) == {r["doc_id"]: before[r["doc_id"]] for r in scored if r["predicted"] == 1}
+
+
+def test_near_copies(kept):
+    before = as_rows(kept[1])
+    ids = sorted(before)
+    classes = plain_classes([plain_print(before[i]["text"]) for i in ids])
+    assert as_rows(kept[2]) == {i: before[i] for n, i in enumerate(ids) if classes[n] == n}
+
+
+def test_repeats(kept):
+    before, after = as_rows(kept[2]), as_rows(kept[3])
+    facts = plain_repeats({i: r["text"].encode() for i, r in before.items()})
+    for i, row in after.items():
+        n_bytes, removed, *_ = facts[i]
+        assert removed or row == before[i]
+        assert n_bytes - removed - len(row["text"].encode()) in range(0, 8)
+        assert row["n_chars"] == len(row["text"])
+    for i in before.keys() - after.keys():
+        assert facts[i][1]
+
+
+def test_secrets(kept):
+    before, after = as_rows(kept[3]), as_rows(kept[4])
+    assert before.keys() == after.keys()
+    for i, row in after.items():
+        found = plain_secrets(before[i]["text"])
+        assert not plain_secrets(row["text"])
+        assert (row["text"] == before[i]["text"]) == (not found)
+        rest = before[i]["text"]
+        for kind, a, b in sorted(found, key=lambda s: -s[1]):
+            assert before[i]["text"][a:b] not in row["text"]
+        if not found:
+            assert rest == row["text"]
+
+
+def test_packing_and_run(spark, kept):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    texts = {i: r["text"] for i, r in as_rows(kept[4]).items()}
+    pieces = {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append((r["start"], bytes(r["ids"])))
+    assert pieces.keys() == texts.keys()
+    for i, text in texts.items():
+        joined = b"".join(b for _, b in sorted(pieces[i]))
+        assert joined == b"".join(x.to_bytes(4, "little") for x in [*plain_ids(text), 1])
+
+
+def test_stages_on_odd_and_no_rows(spark):
+    """Nulls, blanks, copies and a clashing column pass through every stage."""
+    import random
+
+    text = prose(random.Random(4), 80)
+    frame = documents(spark, [*odd_texts(), text, text, text + " token=aaaaaaaa"], "score", ids=[*range(13), None, 20])
+    for rows in (frame, frame.filter("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            rows = stored(stage(spark, rows, SF), "test-odd")
+            assert rows.columns == frame.columns
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() >= 0
+
+
+def test_no_secret_is_left_by_redaction(spark):
+    assert all(re.search(p, "x") is None for p, _, _ in PLAIN.values())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    from check import compare, duck
+
+    found = queries.QUERIES[name](spark, SF)
+    answer = duck(SF).execute(queries.ORACLES[name])
+    columns = [d[0] for d in answer.description]
+    assert compare([tuple(r) for r in found.collect()], found.columns, answer.fetchall(), columns) == ""
+
+
+def test_ten_queries_are_registered():
+    import __spark_entry__ as contract
+
+    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in queries.QUERIES}
+    assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
