@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtables.llm import audio, chat, language, packing, quality, secrets, simhash, suffixes, topk
+from speechtables.llm import audio, bpe, chat, language, packing, quality, secrets, simhash, suffixes, topk
 from speechtables.llm.common import read_table, stored
 from speechtables.session import run_folder
 
@@ -162,3 +162,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("repeat_n_spans").alias("n_spans"),
         F.col("repeat_kept_sha256").alias("kept_sha256"),
     )
+
+
+@query("op7_byte_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = bpe.vocabulary()
+    tokens = bpe.encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"), known)
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(F.col("ids"), known), 256).alias("decoded_sha256"),
+    )
