@@ -226,9 +226,13 @@ def fit_identifier(rows: DataFrame, calibration_rows: int = 2000) -> Identifier:
     plain = Identifier(languages, tuple(models))
     if not languages:
         return plain
-    sample = rows.orderBy(F.xxhash64("text"), "text", "lang").limit(calibration_rows)
-    scored = _scored(sample.select("lang", "text"), plain, "lang").select("lang", "pred", "margin").toPandas()
-    return Identifier(languages, tuple(models), *_calibrated(scored["margin"].to_numpy(), (scored["lang"] == scored["pred"]).to_numpy()))
+    named = rows.withColumn("hash", F.xxhash64("text"))
+    chosen = named.select("hash", "lang").distinct().orderBy("hash", "lang").limit(calibration_rows)
+    sample = named.join(F.broadcast(chosen), ["hash", "lang"]).select("hash", "lang", "text")
+    each = _scored(sample, plain, "hash", "lang").groupBy("hash", "lang").agg(F.min("pred").alias("pred"), F.min("margin").alias("margin"))
+    scored = each.orderBy("hash", "lang").toPandas()
+    right = (scored["lang"] == scored["pred"]).to_numpy()
+    return Identifier(languages, tuple(models), *_calibrated(scored["margin"].to_numpy(), right))
 
 
 def _calibrated(margin: np.ndarray, right: np.ndarray) -> tuple[float, float]:
