@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from speechtables.llm.common import stored
 
 _EPS = 1e-9
+_MARGIN = 1e-6  # angles near 0 lose digits
 _COORDINATES = 4
 _HIGH = 0.5  # from this cosine threshold on, coordinates prune better than lengths
 
@@ -113,13 +114,13 @@ def survivors(block: Block, unit: np.ndarray, query: np.ndarray, norm: float, bo
         return slice(0, 0)
     if local < _HIGH:
         return slice(0, int(np.searchsorted(-block.norms, -(bound / norm) * (1 - _EPS), "right")))
-    local = min(local * (1 - _EPS), 1.0)
-    direction = query / norm
+    opening = np.arccos(min(local * (1 - _EPS), 1.0))  # the widest angle to the query that can reach the bound
+    direction = np.clip(query / norm, -1, 1)
     keep = block.norms >= (bound / norm) * (1 - _EPS)
     for f in np.argsort(-np.abs(direction), kind="stable")[:_COORDINATES]:
-        centre = direction[f] * local
-        reach = np.sqrt(max(1 - local * local, 0.0) * max(1 - direction[f] ** 2, 0.0)) + _EPS
-        keep &= (unit[:, f] >= centre - reach) & (unit[:, f] <= centre + reach)
+        angle = np.arccos(direction[f])
+        least, most = np.cos(min(angle + opening, np.pi)), np.cos(max(angle - opening, 0.0))
+        keep &= (unit[:, f] >= least - _MARGIN) & (unit[:, f] <= most + _MARGIN)
     return np.flatnonzero(keep)
 
 
