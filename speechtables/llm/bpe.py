@@ -1,14 +1,15 @@
-"""Byte-level BPE by higher-order functions, and decoding.
+"""Byte-level BPE by ranked merges over distinct words, and decoding.
 
-Every token id is one symbol, a character of the planes above U+FFFF. A word (one match of the splitting
-pattern) starts as the symbols of its UTF-8 bytes; each step of a fold looks up the rank of all neighbouring
-pairs in a literal rank map, takes the least, and merges its occurrences from left to right; it ends when no
-pair has a rank. A token's rank is its id, so the least symbol is the least rank. The literal is cut into
-small maps by hash, since a map is searched from its front.
+``encoded`` splits every text into words (matches of the splitting pattern), folds each distinct word of a task
+once (bytes, then the pair of least rank again and again) and keeps common words in a bounded cache, which
+changes no id. ``decoded`` maps ids to the tokens' bytes with higher-order functions and concatenates them.
 
-Distinct words are counted over all texts; the ``common_words`` most frequent ones (a fixed bound) are folded
-once each and become a second literal map. All other words are folded where they stand, so no text is
-shuffled and no result depends on the bound. Decoding maps ids to the tokens' bytes and concatenates them.
+``encoded_by_functions`` is the same encoder in higher-order functions only: every token id is one symbol, a
+character of the planes above U+FFFF; a word starts as the symbols of its bytes; each step of a fold looks up
+all neighbouring pairs in a literal rank map (cut into small maps by hash, as a map is searched from its
+front), takes the least and merges its occurrences from left to right. The ``most`` most frequent words of
+all texts are folded once and become a second literal map, other words are folded where they stand. It gives the
+same ids but costs about 0.1 ms a fold, too much for whole tables; see the README.
 
 Merging all occurrences of the least pair at once equals merging them one by one: a merge can only
 give pairs of higher rank, because every token's own parts rank below it.
@@ -21,9 +22,16 @@ from __future__ import annotations
 
 import base64
 import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,15 +135,96 @@ def common_words(documents: DataFrame, vocabulary: Vocabulary, most: int, patter
     return {r["word"]: r["symbols"] for r in top.select("word", symbols_of(F.col("word"), vocabulary).alias("symbols")).collect()}
 
 
-def encoded(documents: DataFrame, vocabulary: Vocabulary, *, most: int = 1 << 16, pattern: str | None = None) -> DataFrame:
+def encoded_by_functions(documents: DataFrame, vocabulary: Vocabulary, *, most: int = 1 << 16, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every row of ``documents`` (doc_id, text)."""
     known = _literal_maps(common_words(documents, vocabulary, most, pattern))
     of_word = lambda word: F.coalesce(_looked_up(known, word), symbols_of(word, vocabulary))
     symbols = F.array_join(F.transform(words_of(F.col("text"), pattern), of_word), "")
-    split = F.when(symbols == "", F.array().cast("array<string>")).otherwise(F.split(symbols, ""))
+    split = F.filter(F.split(symbols, ""), lambda s: s != "")
     return documents.select("doc_id", F.transform(split, lambda s: F.ascii(s) - BASE).alias("ids"))
 
 
+# ---------------------------------------------------------------- words folded in tasks
+
+_CACHE = 400_000
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+# public_tokenizers.PATTERN for Latin-1 texts, with its classes spelled out
+_LATIN = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+)
+
+
+def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word. Pairs wait in a heap by rank and place, so long words stay cheap."""
+    if word in ranks:
+        return [ranks[word]]
+    parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    waiting = [(ranks[pair], i, pair) for i in range(len(parts) - 1) if (pair := word[i : i + 2]) in ranks]
+    heapify(waiting)
+    while waiting:
+        _, i, pair = heappop(waiting)
+        j = after[i]
+        if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != pair:
+            continue  # one of the two was merged meanwhile
+        parts[i], parts[j] = pair, None
+        after[i] = after[j]
+        if after[j] < len(parts):
+            before[after[j]] = i
+            if (right := pair + parts[after[j]]) in ranks:
+                heappush(waiting, (ranks[right], i, right))
+        if before[i] >= 0 and (left := parts[before[i]] + pair) in ranks:
+            heappush(waiting, (ranks[left], before[i], left))
+    return [ranks[p] for p in parts if p is not None]
+
+
+class Encoder:
+    """Ids of texts; common words are kept as ready 32-bit ids."""
+
+    def __init__(self, path: str) -> None:
+        self._ranks = read_ranks(path)
+        self._known: dict[str, bytes] = {}
+        self._any = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+
+    def _learn(self, word: str) -> bytes:
+        ids = np.array(fold(word.encode(), self._ranks), "<i4").tobytes()
+        if len(self._known) < _CACHE and len(word) <= _LONG:
+            self._known[word] = ids
+        return ids
+
+    def __call__(self, text: str) -> np.ndarray:
+        latin = text.isascii() or max(text) <= "\xff"
+        words = (_LATIN if latin else self._any).findall(text)
+        known, learn = self._known, self._learn
+        return np.frombuffer(b"".join([known.get(w) or learn(w) for w in words]), "<i4")
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path)
+
+
+def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, ids array<int>) of every row of ``documents`` (doc_id, text)."""
+    ranks = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    schema = documents.select("doc_id").schema.add("ids", "array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(ranks)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, min(256, batch.num_rows - at))
+                found = [encode(t.as_py()) for t in part.column("text")]
+                edges = np.cumsum([0, *map(len, found)])
+                ids = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
     """The bytes of token ids."""
     pieces = F.from_json(F.lit(json.dumps(vocabulary.pieces)), "array<string>")

@@ -167,7 +167,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_byte_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = bpe.vocabulary()
-    tokens = bpe.encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"), known)
+    tokens = bpe.encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return tokens.select(
         "doc_id",
