@@ -64,7 +64,7 @@ def chunked(documents: DataFrame, chunk_bytes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
             start, size = 0, 0
@@ -244,7 +244,7 @@ _SENT_SQL = "bucket int, chunk bigint, width int, start binary, owner binary, lo
 
 
 def _send(buckets: int):
-    """Rows of the collections, by bucket; bucket -1 holds windows settled inside the chunk."""
+    """Rows of the collections, by bucket; rows without content are windows settled inside the chunk."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -261,7 +261,7 @@ def _send(buckets: int):
                     flags[x:y] = np.unpackbits(np.frombuffer(answer[name], np.uint8))[: y - x] > 0
             mine, far = (shared & ~wide)[place], (shared & wide)[place]
             number = row["chunk"]
-            out += _file(chunk, number, position[mine] - BEFORE, value[mine] % np.uint64(buckets), WIDTH)
+            out += _file(chunk, number, position[mine] - BEFORE, value[mine] % np.uint64(buckets), WIDTH, buckets)
             starts = np.unique((position[far][:, None] - np.arange(SPAN)[None, :]).ravel())
             starts = starts[starts >= 0]
             starts = starts[chunk.ends[chunk.document(starts)] >= starts + LENGTH] if len(starts) else starts
@@ -269,14 +269,16 @@ def _send(buckets: int):
                 content = _surroundings(chunk, starts, LENGTH)
                 hashed = content[:, :48].copy().view("<u8") @ (np.arange(6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD6E8FEB86659FD93))
                 hashed ^= hashed >> np.uint64(29)
-                out += _file(chunk, number, starts, np.uint64(buckets) + hashed % np.uint64(buckets), LENGTH)
+                out += _file(chunk, number, starts, np.uint64(buckets) + hashed % np.uint64(buckets), LENGTH, buckets)
         columns = list(zip(*out)) if out else [[] for _ in _SENT]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SENT)], schema=_SENT)
 
     return run
 
 
-def _file(chunk: Chunk, number: int, start: np.ndarray, bucket: np.ndarray, width: int) -> Iterator[tuple]:
+def _file(
+    chunk: Chunk, number: int, start: np.ndarray, bucket: np.ndarray, width: int, buckets: int
+) -> Iterator[tuple]:
     """Group the rows starting at ``start`` by bucket; rows of later documents that equal one of an earlier
     document are settled here."""
     if not len(start):
@@ -300,7 +302,7 @@ def _file(chunk: Chunk, number: int, start: np.ndarray, bucket: np.ndarray, widt
     later = owner > least[same]
     if later.any():
         bits = _all_windows(low[later], high[later])
-        yield -1, number, width, start[later].astype("<i8").tobytes(), bits.astype("<u8").tobytes(), b"", b"", b""
+        yield number % buckets, number, width, start[later].astype("<i8").tobytes(), bits.astype("<u8").tobytes(), b"", b"", b""
     pack = zstandard.ZstdCompressor(level=1)
     send = np.flatnonzero(~later)
     send = send[np.argsort(bucket[send], kind="stable")]
@@ -363,7 +365,20 @@ _MASKS = "chunk bigint, start binary, mask binary"
 
 def _settle(table: pa.Table) -> pa.Table:
     """One bucket's collection: which windows of which rows belong to a smaller document elsewhere."""
-    rows = table.to_pylist()
+    every = table.to_pylist()
+    rows = [r for r in every if r["rows"]]
+    done = [(r["chunk"], r["start"], r["owner"]) for r in every if not r["rows"]]
+    return _mask_table(done + (_lost_windows(rows) if rows else []))
+
+
+def _mask_table(answers: list[tuple]) -> pa.Table:
+    columns = list(zip(*answers)) if answers else ([], [], [])
+    types = (pa.int64(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("chunk", "start", "mask"), columns, types)})
+
+
+def _lost_windows(rows: list[dict]) -> list[tuple]:
+    """(chunk, starts, masks) of the windows of equally wide rows that a smaller document holds too."""
     unpack = zstandard.ZstdDecompressor()
     width = rows[0]["width"]
     start = np.concatenate([np.frombuffer(r["start"], "<i8") for r in rows])
@@ -389,9 +404,7 @@ def _settle(table: pa.Table) -> pa.Table:
         hit = np.flatnonzero(mask[a:b]) + a
         if len(hit):
             answers.append((r["chunk"], start[hit].astype("<i8").tobytes(), mask[hit].astype("<u8").tobytes()))
-    columns_out = list(zip(*answers)) if answers else ([], [], [])
-    types = (pa.int64(), pa.binary(), pa.binary())
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("chunk", "start", "mask"), columns_out, types)})
+    return answers
 
 
 # ---------------------------------------------------------------- results
@@ -434,10 +447,7 @@ def repeated_removed(
     asked = chunks.mapInArrow(_ask(buckets), "bucket int, chunk bigint, hashes binary, several binary")
     answered = asked.groupBy("bucket").applyInArrow(_answer(wide_from), "chunk bigint, bucket int, shared binary, wide binary")
     sent = chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_send(buckets), _SENT_SQL)
-    sent = stored(sent, "repeat-collections")
-    settled = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(_settle, _MASKS)
-    inside = sent.filter("bucket < 0").select("chunk", "start", F.col("owner").alias("mask"))
-    answers = settled.union(inside)
+    answers = stored(sent.groupBy("bucket").applyInArrow(_settle, _MASKS), "repeat-answers")
 
     others = [f for f in documents.schema.fields if f.name != "text"]
     fields = [*others, *([T.StructField("text", T.StringType())] if text else [])]
