@@ -22,6 +22,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -106,6 +107,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path)
+
+
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
     """Pieces (document, start, length, window, offset) that cover every token once, and the windows'
     lengths, all of them powers of two if the tiers are."""
@@ -198,7 +205,7 @@ def packed(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         base = TaskContext.get().partitionId() << 40
         window, group = base, base
         held_ids: list = []
