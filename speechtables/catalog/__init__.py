@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from speechtables.session import ship_package
+
 Job = Callable[[SparkSession, str], DataFrame]
 
 JOBS: dict[str, Job] = {}
@@ -18,7 +21,13 @@ def job(name: str, sql: str | None = None):
     def register(fn: Job) -> Job:
         if name in JOBS:
             raise ValueError(f"{name} is registered twice")
-        JOBS[name] = fn
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf)
+
+        JOBS[name] = run
         if sql is not None:
             SQL[name] = sql
         return fn

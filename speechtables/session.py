@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: dict[str, str] = {}
+
 
 def build_session(app: str = "speechtables", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, adaptive execution and Arrow transfer switched on.
@@ -31,15 +35,33 @@ def build_session(app: str = "speechtables", master: str | None = None, **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``. Only a
-    session without that setting (local tests) gets a temporary folder."""
+    """The shared checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session on one machine (``local[...]``) may lack that setting; it gets a folder of its own.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="speechtables-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the workers, once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if _SHIPPED.get("application") == context.applicationId:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="speechtables-package-")) / "speechtables-package.zip"  # read by the driver only
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED["application"] = context.applicationId
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one, for the files of one run."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
