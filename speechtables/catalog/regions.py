@@ -300,14 +300,15 @@ def stitched_times(spark, sf):
         "regions",
         """with lv as (select recording_id, count(*) as duration, max(abs(prob - 0.1::double)) as peak, stddev_pop(prob - 0.1::double) as rms from frames group by recording_id),
         sp as (select recording_id, sum("end" - start) as speech from regions group by recording_id)
-        select recording_id, cast(duration as bigint) as duration, cast(coalesce(speech, 0) as bigint) as speech, peak,
+        select recording_id, cast(duration as bigint) as duration, cast(coalesce(speech, 0) as bigint) as speech, peak, round(rms, 9) as rms,
             coalesce(speech, 0) / duration < 0.02 or coalesce(speech, 0) < 1 or peak < 0.01 or rms < 0.01 as silence
         from lv left join sp using (recording_id)""",
     ),
 )
 def silence(spark, sf):
     samples = t.frames(spark, sf).select("recording_id", (F.col("prob") - 0.1).alias("x"), F.lit(1).cast("bigint").alias("dur"))
-    return op.silence_verdict(samples, t.regions(spark, sf)).select("recording_id", "duration", "speech", "peak", "silence")
+    found = op.silence_verdict(samples, t.regions(spark, sf))
+    return found.select("recording_id", "duration", "speech", "peak", F.round("rms", 9).alias("rms"), "silence")
 
 
 @job(

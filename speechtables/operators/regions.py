@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from speechtables.plans.asof import next_mark
 from speechtables.plans.carry import fold
 from speechtables.plans.intervals import points_in_intervals
+from speechtables.plans.jumps import visited
 from speechtables.plans.ordered import BLOCK_ROWS, neighbours, row_block, run_ids, scan
 from speechtables.plans.ranges import explode_count
 from speechtables.plans.skew import spread_lookup
@@ -76,34 +77,43 @@ def binarize_limited(
     offset = onset if offset is None else offset
 
     def step(rows: pd.DataFrame, state: str, last: bool):
-        times, scores = rows[frame].to_numpy(), rows["prob"].to_numpy()
+        """Jumps from one opening, closing or cut to the next. Gathered rows are those from ``low`` on, and
+        ``lone``, the row that closed the region before."""
+        memory = json.loads(state) if state else {"on": bool(rows["prob"].iloc[0] > onset), "seen": [], "lone": False}
+        times = np.array([t for _, t in memory["seen"]] + rows[frame].tolist(), np.int64)
+        scores = np.array([y for y, _ in memory["seen"]] + rows["prob"].tolist(), np.float64)
+        high, below = np.flatnonzero(scores > onset), np.flatnonzero(scores < offset)
+        following = lambda marks, at: marks[k] if (k := np.searchsorted(marks, at)) < len(marks) else len(times)
+        on, at = memory["on"], len(memory["seen"]) if state else 1
+        lone = 0 if memory["lone"] or not state else None
+        low = 0 if lone is None else 1
+        start = memory["start"] if state else int(times[0])
         found = []
-        if state:
-            memory = json.loads(state)
-            active, start, seen = memory["on"], memory["start"], [tuple(x) for x in memory["seen"]]
-            begin = 0
-        else:
-            active, start, seen = bool(scores[0] > onset), int(times[0]), [(float(scores[0]), int(times[0]))]
-            begin = 1
-        for at in range(begin, len(times)):
-            t, y = int(times[at]), float(scores[at])
-            if not active:
-                if y > onset:
-                    active, start = True, t
+        while at < len(times):
+            if not on:
+                at = low = following(high, at) + 1
+                if at <= len(times):
+                    on, start = True, int(times[at - 1])
                 continue
-            if t - start > max_frames:
-                half = len(seen) // 2
-                cut = half + int(np.argmin([s for s, _ in seen[half:]]))
-                found.append((start, seen[cut][1]))
-                start, seen = seen[cut][1], seen[cut + 1 :]
-            elif y < offset:
-                found.append((start, t))
-                active, start, seen = False, t, []
-            seen.append((y, t))
-        if last and active:
+            closing = following(below, at)
+            cutting = max(at, int(np.searchsorted(times, start + max_frames, "right")))
+            if min(closing, cutting) == len(times):
+                break
+            if cutting <= closing:
+                gathered = np.arange(low, cutting) if lone is None else np.r_[lone, low:cutting]
+                later = gathered[len(gathered) // 2 :]
+                cut = int(later[scores[later].argmin()])
+                found.append((start, int(times[cut])))
+                start, low, lone, at = int(times[cut]), max(low, cut + 1), None, cutting + 1
+            else:
+                found.append((start, int(times[closing])))
+                on, start, lone, low, at = False, int(times[closing]), int(closing), int(closing) + 1, int(closing) + 1
+        kept = ([] if lone is None else [lone]) + (list(range(low, len(times))) if on else [])
+        if last and on:
             found.append((start, int(times[-1])))
         out = pd.DataFrame(found, columns=["start_frame", "end_frame"])
-        return out, json.dumps({"on": active, "start": start, "seen": seen})
+        seen = [(float(scores[k]), int(times[k])) for k in kept]
+        return out, json.dumps({"on": on, "start": start, "seen": seen, "lone": lone is not None})
 
     return fold(
         frames.select(*keys, frame, "prob"), keys, [frame], row_block(frame, rows), step, "start_frame bigint, end_frame bigint"
@@ -227,41 +237,63 @@ def voice_activity(
     cut_pause = rate * FORCED_CUT_MS / 1000
 
     def step(rows: pd.DataFrame, state: str, last: bool):
-        # start: of the open speech or None; quiet: where the current silence began or 0;
-        # pause_end / resume: limits of the last pause long enough for a forced cut
-        start, quiet, pause_end, resume = json.loads(state) if state else (None, 0, 0, 0)
-        found = []
-        for frame, score in zip(rows["frame"].tolist(), rows["prob"].tolist()):
-            at = WINDOW_SAMPLES * frame
-            if score >= threshold:
-                if quiet:
-                    quiet = 0
-                    if resume < pause_end:
-                        resume = at
-                if start is None:
-                    start = at
+        """Walks over runs of frames of one kind (speech, between, silence); inside a run the frame at which
+        a limit is passed follows from the times alone."""
+        open_at, silent_at, cut_at, resumed = json.loads(state) if state else (None, 0, 0, 0)
+        times = WINDOW_SAMPLES * rows["frame"].to_numpy()
+        scores = rows["prob"].to_numpy()
+        kind = np.where(scores >= threshold, 2, np.where(scores < low, 0, 1))
+        found: list[tuple[int, int]] = []
+
+        def passed(limit: float, begin: int, end: int, strict: bool = True) -> int:
+            return begin + int(np.searchsorted(times[begin:end], limit, "right" if strict else "left"))
+
+        def forced(at: int) -> None:
+            nonlocal open_at, silent_at, cut_at, resumed
+            found.append((open_at, cut_at or int(times[at])))
+            open_at = resumed if cut_at and resumed >= cut_at else None
+            silent_at = cut_at = resumed = 0
+
+        edges = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)]
+        for at, end in zip(edges[:-1], edges[1:]):
+            if kind[at] == 2 and silent_at:
+                silent_at = 0
+                if resumed < cut_at:
+                    resumed = int(times[at])
+            while at < end:
+                if open_at is None:
+                    if kind[at] != 2:
+                        break
+                    open_at = int(times[at])
+                    at += 1
                     continue
-            if start is not None and at - start > longest:
-                if not pause_end:
-                    found.append((start, at))
-                    start, quiet, pause_end, resume = None, 0, 0, 0
+                over = passed(open_at + longest, at, end)
+                if kind[at]:
+                    if over < end:
+                        forced(over)
+                    at = over + 1
                     continue
-                found.append((start, pause_end))
-                start = None if resume < pause_end else resume
-                quiet, pause_end, resume = 0, 0, 0
-            if score < low and start is not None:
-                quiet = quiet or at
-                if at - quiet > cut_pause:
-                    pause_end = quiet
-                if at - quiet >= pause:
-                    if quiet - start > shortest:
-                        found.append((start, quiet))
-                    start, quiet, pause_end, resume = None, 0, 0, 0
-        if last and start is not None:
-            total = WINDOW_SAMPLES * (int(rows["frame"].iloc[-1]) + 1)
-            if total - start > shortest:
-                found.append((start, total))
-        return pd.DataFrame(found, columns=["start", "end"]), json.dumps([start, quiet, pause_end, resume])
+                since = silent_at or int(times[at])
+                closing = passed(since + pause, at, end, strict=False)
+                reach = min(over, closing, end)
+                if reach > at:
+                    silent_at = since
+                    if times[reach - 1] - since > cut_pause:
+                        cut_at = since
+                if closing < over:
+                    if since - open_at > shortest:
+                        found.append((open_at, since))
+                    open_at, silent_at, cut_at, resumed = None, 0, 0, 0
+                elif over < end:
+                    forced(over)
+                    at = over
+                    continue
+                break
+        if last and open_at is not None:
+            total = int(times[-1]) + WINDOW_SAMPLES
+            if total - open_at > shortest:
+                found.append((open_at, total))
+        return pd.DataFrame(found, columns=["start", "end"]), json.dumps([open_at, silent_at, cut_at, resumed])
 
     return fold(frames.select(*keys, "frame", "prob"), keys, ["frame"], row_block("frame", rows), step, "start bigint, end bigint")
 
@@ -297,6 +329,27 @@ def fill_gaps(
     return merged.filter(F.col("end") - F.col("start") >= min_on)
 
 
+# How many sizes of a chunk one block of a lookup covers.
+LOOKUP_SIZES = 256
+
+
+def _first_beyond(rows: DataFrame, limit: Column, value: str, size: float, keys: Sequence[str], seq: str) -> DataFrame:
+    """Adds ``__hit``, the ``seq`` of the first row whose ``value`` (which must not fall) exceeds ``limit``."""
+    marks = rows.select(*keys, seq, value)
+    found = next_mark(
+        rows.withColumn("__limit", limit), "__limit", marks, value, keys, [seq], max(size, 1) * LOOKUP_SIZES, strict=True, or_last=False
+    )
+    return found.withColumn("__hit", F.col(f"mark.{seq}")).drop("mark", "__limit")
+
+
+def _chunks(rows: DataFrame, target: Column, keys: Sequence[str], seq: str, block: int) -> DataFrame:
+    """Adds ``chunk``: the ``seq`` of the last row at or before this one that the jumps to ``target`` visit."""
+    ready = cut_lineage(rows.withColumn("__to", target))
+    heads = visited(ready, keys, seq, "__to").withColumn("__head", F.col(seq))
+    marked = ready.join(heads, [*keys, seq], "left")
+    return scan(marked, keys, [seq], row_block(seq, block), latest={"chunk": F.col("__head")}).drop("__to", "__head")
+
+
 def merge_regions(
     regions: DataFrame,
     max_gap: float,
@@ -306,25 +359,17 @@ def merge_regions(
     rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Greedy: a region joins the one before it when the gap is below ``max_gap`` and the joined
-    span at most ``max_length``. Gaps of ``max_gap`` always cut, so the carried state is short-lived."""
-
-    def step(rows: pd.DataFrame, state: str, last: bool):
-        opened = json.loads(state) if state else None
-        found = []
-        for start, end in zip(rows["start"].tolist(), rows["end"].tolist()):
-            if opened and start - opened[1] < max_gap and end - opened[0] <= max_length:
-                opened[1] = end
-                continue
-            if opened:
-                found.append(opened)
-            opened = [start, end]
-        if last and opened:
-            found.append(opened)
-        return pd.DataFrame(found, columns=["start", "end"]), json.dumps(opened)
-
-    kind = regions.schema["start"].dataType.simpleString()
-    slim = cut_lineage(regions.select(*keys, seq, "start", "end"))
-    return fold(slim, keys, [seq], row_block(seq, rows), step, f"start {kind}, end {kind}")
+    span at most ``max_length``. Every region knows where the next one would begin if it began one: at
+    the next wide gap or beyond the longest span; ``seq`` is dense and ends do not fall."""
+    slim = regions.select(*keys, seq, "start", "end")
+    near = neighbours(slim, keys, seq, prev={"__pe": F.col("end")}, rows=rows)
+    wide = F.when(F.col("start") - F.col("__pe") >= max_gap, F.col(seq))
+    ahead = scan(near, keys, [seq], row_block(seq, rows), upcoming={"__gap": wide})
+    after = neighbours(ahead, keys, seq, next={"__next_gap": F.col("__gap"), "__next": F.col(seq)}, rows=rows)
+    beyond = _first_beyond(cut_lineage(after), F.col("start") + max_length, "end", max_length, keys, seq)
+    over = F.when(F.col("__hit") > F.col(seq), F.col("__hit")).when(F.col("__hit").isNotNull(), F.col("__next"))
+    packed = _chunks(beyond, F.least(over, F.col("__next_gap")), keys, seq, rows)
+    return packed.groupBy(*keys, "chunk").agg(F.min("start").alias("start"), F.max_by("end", seq).alias("end")).drop("chunk")
 
 
 def pad_edges(segments: DataFrame, padding: float, keys: Sequence[str] = KEYS, seq: str = "seq", rows: int = BLOCK_ROWS) -> DataFrame:
@@ -339,53 +384,29 @@ def pad_edges(segments: DataFrame, padding: float, keys: Sequence[str] = KEYS, s
 
 def pack_by_span(segments: DataFrame, size: float, keys: Sequence[str] = KEYS, seq: str = "seq", rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds ``chunk``, the ``seq`` of the chunk's first segment: a chunk is closed before its span
-    would exceed ``size``."""
-
-    def step(rows: pd.DataFrame, state: str, last: bool):
-        head, origin, reach = json.loads(state) if state else (None, None, None)
-        chunk = []
-        for at, start, end in zip(rows[seq].tolist(), rows["start"].tolist(), rows["end"].tolist()):
-            if head is None or (end - origin > size and reach - origin > 0):
-                head, origin = at, start
-            reach = end
-            chunk.append(head)
-        return rows[[seq, "start", "end"]].assign(chunk=chunk), json.dumps([head, origin, reach])
-
-    kind = segments.schema["start"].dataType.simpleString()
-    return fold(
-        cut_lineage(segments.select(*keys, seq, "start", "end")),
-        keys,
-        [seq],
-        row_block(seq, rows),
-        step,
-        f"{seq} bigint, start {kind}, end {kind}, chunk bigint",
-    )
+    would exceed ``size``. ``seq`` is dense, ends do not fall. A chunk that so far only holds segments
+    of no length at its origin takes one more."""
+    near = neighbours(segments.select(*keys, seq, "start", "end"), keys, seq, next={"__next": F.col(seq)}, rows=rows)
+    slim = cut_lineage(near)
+    beyond = _first_beyond(slim, F.col("start") + size, "end", size, keys, seq)
+    empty = _first_beyond(beyond.withColumnRenamed("__hit", "__over"), F.col("start"), "end", size, keys, seq)
+    last = slim.groupBy(*keys).agg(F.max(seq).alias("__last"))
+    known = spread_lookup(empty, last, keys, F.col(seq))
+    # the first segment past the span, but not before one that follows a segment of some length
+    target = F.greatest(F.col("__over"), F.col(seq) + 1, F.col("__hit") + 1)
+    target = F.when(F.col("__over").isNotNull() & (target <= F.col("__last")), target)
+    return _chunks(known, target, keys, seq, rows).select(*keys, seq, "start", "end", "chunk")
 
 
 def pack_by_speech(segments: DataFrame, size: float, keys: Sequence[str] = KEYS, seq: str = "seq", rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds ``chunk``: segments are stitched while their summed speech stays within ``size``."""
-
-    def step(rows: pd.DataFrame, state: str, last: bool):
-        head, speech = json.loads(state) if state else (None, 0)
-        chunk = []
-        for at, start, end in zip(rows[seq].tolist(), rows["start"].tolist(), rows["end"].tolist()):
-            length = end - start
-            if head is None or speech + length > size:
-                head, speech = at, length
-            else:
-                speech += length
-            chunk.append(head)
-        return rows[[seq, "start", "end"]].assign(chunk=chunk), json.dumps([head, speech])
-
-    kind = segments.schema["start"].dataType.simpleString()
-    return fold(
-        cut_lineage(segments.select(*keys, seq, "start", "end")),
-        keys,
-        [seq],
-        row_block(seq, rows),
-        step,
-        f"{seq} bigint, start {kind}, end {kind}, chunk bigint",
-    )
+    """Adds ``chunk``: segments are stitched while their summed speech stays within ``size``. ``seq`` is
+    dense; sums are exact for whole numbers."""
+    length = F.col("end") - F.col("start")
+    near = neighbours(segments.select(*keys, seq, "start", "end"), keys, seq, next={"__next": F.col(seq)}, rows=rows)
+    summed = cut_lineage(scan(near, keys, [seq], row_block(seq, rows), total={"__sum": length}))
+    beyond = _first_beyond(summed, F.col("__sum") - length + size, "__sum", size, keys, seq)
+    target = F.when(F.col("__hit") > F.col(seq), F.col("__hit")).when(F.col("__hit").isNotNull(), F.col("__next"))
+    return _chunks(beyond, target, keys, seq, rows).select(*keys, seq, "start", "end", "chunk")
 
 
 def join_members(chunked: DataFrame, max_gap: float, keys: Sequence[str] = KEYS, seq: str = "seq", rows: int = BLOCK_ROWS) -> DataFrame:
