@@ -135,7 +135,20 @@ def multi_channel(spark, sf):
     return op.merge_channels(words, TEN_MINUTES_MS)
 
 
-@job("sentences_realigned_g6")
+@job(
+    "sentences_realigned_g6",
+    t.sql(
+        "words conv_turns",
+        f"""with {_J1},
+        marked as (select *, coalesce(sum(case when regexp_matches(word, '[.?!]$') then 1 else 0 end)
+            over (partition by recording_id order by nr rows between unbounded preceding and 1 preceding), 0) as sentence from spoken),
+        votes as (select recording_id, sentence, speaker, count(*) as v, bool_or(regexp_matches(word, '[.?!]$')) as closed from marked group by all),
+        tops as (select recording_id, sentence, sum(v) as n, count(*) as voices, bool_or(closed) as closed, arg_max(speaker, (v, -speaker)) as top, max(v) as best
+            from votes group by all)
+        select recording_id, nr as at, word, case when voices > 1 and (closed and n <= 50 or n = 50) and best >= n // 2 then top else speaker end as speaker
+        from marked join tops using (recording_id, sentence)""",
+    ),
+)
 def realigned(spark, sf):
     spoken = op.words_to_turns(_words(spark, sf), _turns(spark, sf), TEN_MINUTES_MS)
     return op.realign_by_sentence(_numbered(spoken))

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections import Counter
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +11,6 @@ from speechtables.functions.text import strip, word_array
 from speechtables.functions.times import word_anchor
 from speechtables.operators.utterances import join_text
 from speechtables.plans.asof import next_mark
-from speechtables.plans.carry import fold
 from speechtables.plans.intervals import time_block
 from speechtables.plans.ordered import BLOCK_ROWS, neighbours, row_block, run_ids, scan, with_ordinal
 from speechtables.session import cut_lineage
@@ -188,61 +184,30 @@ def merge_channels(words: DataFrame, width: int, keys: Sequence[str] = KEYS, row
 def realign_by_sentence(
     words: DataFrame, max_words: int = 50, keys: Sequence[str] = KEYS, at: str = "at", rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Where the speaker changes inside a sentence, the whole sentence goes to its majority speaker.
+    """Sentences of up to ``max_words`` words with several speakers go to their majority speaker.
 
-    Sentences are looked for within ``max_words`` around the change; a sentence without a visible
-    end stays as it is. A majority needs at least half of the words (rounded down); ties go to the
-    lower speaker. Carried: the last words, whose speakers may still change or be looked at.
+    A sentence ends with a word that closes one. A majority needs at least half of the words (rounded
+    down); ties go to the lower speaker. A last sentence without an end is looked at only when it has
+    exactly ``max_words`` words. Only counts per sentence and speaker are gathered, never its words.
     """
-    back = max_words + 2
-
-    def step(rows: pd.DataFrame, state: str, last: bool):
-        memory = json.loads(state)
-        begin, k = memory["begin"], memory["k"]  # whether the recording starts here; next word to look at
-        pos = memory["pos"] + rows[at].tolist()
-        word = memory["word"] + rows["word"].tolist()
-        spk = memory["spk"] + rows["speaker"].tolist()
-        total = len(word)
-
-        def ends(i: int) -> bool:
-            return word[i][-1:] in (".", "?", "!")
-
-        while k < total and (last or k + max_words + 1 < total):
-            here, k = k, k + 1
-            if k >= total or spk[here] == spk[k] or ends(here):
-                continue
-            left = here
-            while left > 0 and here - left < max_words and spk[left - 1] == spk[left] and not ends(left - 1):
-                left -= 1
-            if not (ends(left - 1) if left > 0 else begin):
-                continue
-            room = max_words - here + left - 1
-            right = here
-            while right < total and right - here < room and not ends(right):
-                right += 1
-            if right >= total or not (ends(right) or (last and right == total - 1)):
-                continue
-            labels = spk[left : right + 1]
-            top, votes = min(Counter(labels).items(), key=lambda item: (-item[1], item[0]))
-            if votes < len(labels) // 2:
-                continue
-            spk[left : right + 1] = [top] * len(labels)
-            k = right + 1
-        give = total if last else max(0, min(k, total) - back)
-        out = pd.DataFrame({at: pos[:give], "word": word[:give], "speaker": spk[:give]})
-        rest = {"begin": begin and give == 0, "k": k - give, "pos": pos[give:], "word": word[give:], "spk": spk[give:]}
-        return out, json.dumps(rest)
-
-    empty = {"k": 0, "pos": [], "word": [], "spk": []}
-    return fold(
-        cut_lineage(words.select(*keys, at, "word", "speaker")),
-        keys,
-        [at],
-        row_block(at, rows),
-        step,
-        f"{at} bigint, word string, speaker int",
-        initial=json.dumps({"begin": True, **empty}),
-        guess=json.dumps({"begin": False, **empty}),
+    closes = F.col("word").rlike(SENTENCE_END)
+    plain = words.select(*keys, at, "word", "speaker")
+    numbered = cut_lineage(
+        scan(plain, keys, [at], row_block(at, rows), total={"sentence": closes.cast("bigint")}).withColumn(
+            "sentence", F.col("sentence") - closes.cast("bigint")
+        )
+    )
+    by = [*keys, "sentence"]
+    votes = numbered.groupBy(*by, "speaker").agg(F.count(F.lit(1)).alias("votes"), F.max(closes).alias("closed"))
+    leader = F.max(F.struct("votes", (-F.col("speaker")).alias("lower")))
+    counted = votes.groupBy(*by).agg(
+        F.sum("votes").alias("n"), F.count(F.lit(1)).alias("voices"), F.max("closed").alias("closed"), leader.alias("top")
+    )
+    whole = (F.col("closed") & (F.col("n") <= max_words)) | (F.col("n") == max_words)
+    decided = counted.filter(whole & (F.col("voices") > 1) & (F.col("top.votes") >= F.floor(F.col("n") / 2)))
+    change = decided.select(*by, (-F.col("top.lower")).cast("int").alias("__majority"))
+    return numbered.join(change, by, "left").select(
+        *keys, at, "word", F.coalesce("__majority", "speaker").alias("speaker")
     )
 
 
