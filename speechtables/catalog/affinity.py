@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from speechtables.catalog import job
@@ -209,6 +210,45 @@ def clusters(spark, sf):
     return op.cluster_speakers(rows, counts)
 
 
+_SPEAKERS = """with s as (select label // 2 as recording_id, label, row_number() over (partition by label // 2 order by vec_id) - 1 as seg_idx from embeddings)"""
+
+
+def _partition(labels):
+    """Clusters named by their first window."""
+    by = Window.partitionBy(*KEY, "label")
+    return labels.select(*KEY, F.col("i").alias("seg_idx"), F.min("i").over(by).alias("speaker"))
+
+
+def _told(spark, sf):
+    return op.single_scale(t.speakers(spark, sf))
+
+
+@job(
+    "speakers_counted_c10_c11",
+    _SPEAKERS + " select recording_id, count(distinct label)::integer as speakers from s group by recording_id",
+)
+def counted(spark, sf):
+    return op.neighbour_search(_told(spark, sf)).select(*KEY, "speakers")
+
+
+@job(
+    "speaker_partition_c12",
+    _SPEAKERS + " select recording_id, seg_idx, min(seg_idx) over (partition by recording_id, label) as speaker from s",
+)
+def partition(spark, sf):
+    rows = cut_lineage(_told(spark, sf))
+    return _partition(op.cluster_speakers(rows, op.neighbour_search(rows)))
+
+
+@job(
+    "speaker_partition_known_c12",
+    _SPEAKERS + " select recording_id, seg_idx, min(seg_idx) over (partition by recording_id, label) as speaker from s",
+)
+def known_partition(spark, sf):
+    rows = cut_lineage(_told(spark, sf))
+    return _partition(op.cluster_speakers(rows, op.neighbour_search(rows, known=2)))
+
+
 @job("multi_scale_speaker_clusters_c12_c4")
 def fused_clusters(spark, sf):
     rows = cut_lineage(op.multi_scale(base_windows(spark, sf), _mapping(spark, sf), scale_embeddings(spark, sf)))

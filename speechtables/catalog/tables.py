@@ -119,6 +119,18 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def speakers(spark: SparkSession, sf: str) -> DataFrame:
+    """Five recordings of two speakers each: vectors whose label shows in one of ten components."""
+    told = F.transform("embedding", lambda x, k: x + F.when(k == F.col("label"), 2.0).otherwise(0.0))
+    in_order = Window.partitionBy("recording_id").orderBy("vec_id")
+    return (
+        read(spark, sf, "embeddings")
+        .select(F.expr("label div 2").alias("recording_id"), "vec_id", told.cast("array<float>").alias("vec"), "label")
+        .withColumn("seg_idx", F.row_number().over(in_order).cast("bigint") - 1)
+        .drop("vec_id")
+    )
+
+
 def lang_probs(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select(
         (F.col("doc_id") % 50).alias("recording_id"),

@@ -362,15 +362,19 @@ def neighbour_search(
     volume: int = SEARCH_STEPS,
     speakers: int = MAX_SPEAKERS,
     majority: bool = False,
+    search_rows: int | None = SEARCH_ROWS,
+    known: int | None = None,
 ) -> DataFrame:
     """Neighbours to keep and number of speakers, per recording.
 
-    Every k-th row is looked at so that fewer than ``2 * SEARCH_ROWS`` remain; each (recording, p) is
-    then an independent small eigenproblem.
+    ``search_rows`` is the option to look at every k-th row only, so that fewer than ``2 * search_rows``
+    remain; None looks at all rows. Each (recording, p) is then an independent eigenproblem. A ``known``
+    number of speakers is kept, and gaps are looked at up to that number.
     """
     keys = list(keys)
+    speakers = max(speakers, known or 0)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    ratio = F.greatest(F.lit(1), F.floor(F.col("n") / SEARCH_ROWS)).cast("bigint")
+    ratio = F.greatest(F.lit(1), F.floor(F.col("n") / (search_rows or 1 << 62))).cast("bigint")
     sampled = spread_lookup(rows, sizes.withColumn("k", ratio), keys, F.col("i")).filter(F.col("i") % F.col("k") == 0)
     counts = sizes.withColumn("k", ratio).withColumn("m", F.ceil(F.col("n") / F.col("k")))
     steps = counts.select(*keys, F.explode(_search_steps(share, volume)("m")).alias("p"))
@@ -396,7 +400,8 @@ def neighbour_search(
         k = int(part["k"].iloc[0])
         return pd.DataFrame([[*key, p, p * k, found, k]], columns=[*keys, "p", "p_full", "speakers", "k"])
 
-    return table.groupBy(*keys).applyInPandas(choose, f"{key_fields}, p int, p_full int, speakers int, k int")
+    chosen = table.groupBy(*keys).applyInPandas(choose, f"{key_fields}, p int, p_full int, speakers int, k int")
+    return chosen.withColumn("speakers", F.lit(known)) if known else chosen
 
 
 def _search_steps(share: float, volume: int):
@@ -443,14 +448,16 @@ COUNT_SHARE = 0.15
 COUNT_STEPS = 10
 
 
-def count_speakers_short(embeddings: DataFrame, keys: Sequence[str] = KEYS, index: str = "seg_idx", vec: str = "vec") -> DataFrame:
-    """Speakers of recordings with at most ``SHORT_ROWS`` vectors.
+def count_speakers_short(
+    embeddings: DataFrame, keys: Sequence[str] = KEYS, index: str = "seg_idx", vec: str = "vec", short_rows: int = SHORT_ROWS
+) -> DataFrame:
+    """Speakers of recordings with at most ``short_rows`` vectors.
 
     Made-up speakers are added, the count is repeated with other random numbers, and the most frequent
     count less the made-up speakers is taken (at least 1). Each (recording, trial) is a task of its own.
     """
     keys = list(keys)
-    sizes = embeddings.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= SHORT_ROWS).drop("n")
+    sizes = embeddings.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= short_rows).drop("n")
     short = embeddings.select(*keys, index, vec).join(sizes, keys)
     trials = short.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(COUNT_TRIALS - 1))))
     key_fields = ", ".join(f"{k} {embeddings.schema[k].dataType.simpleString()}" for k in keys)
@@ -482,45 +489,71 @@ def count_speakers_short(embeddings: DataFrame, keys: Sequence[str] = KEYS, inde
     return votes.groupBy(*keys).agg(F.greatest(top - COUNT_SPEAKERS, F.lit(1)).alias("speakers"))
 
 
-# K-means rounds, movement below which it stops, candidates per new centre.
-MEANS_ROUNDS = 15
-MEANS_STOP = 1e-4
-MEANS_TRIALS = 30
+# Fixed values of the eigenvector search: spare vectors, degree of one filter, most filter rounds, tolerance.
+SPARE_VECTORS = 4
+FILTER_DEGREE = 12
+FILTER_ROUNDS = 60
+FILTER_TOLERANCE = 1e-7
+
 
+def smallest_vectors(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Eigenvectors of the ``k`` smallest eigenvalues of the Laplacian of a symmetric edge list.
 
-def k_means(points: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Lloyd's algorithm from greedy k-means++ centres."""
-    draw = np.random.default_rng(seed)
-    centres = [points[draw.integers(len(points))]]
-    nearest = ((points - centres[0]) ** 2).sum(1)
+    Memory follows the edges, never n x n: a block of vectors is filtered with a Chebyshev polynomial that
+    damps everything above the wanted eigenvalues, then turned into the best vectors of its span.
+    """
+    order = np.argsort(i, kind="stable")
+    i, j, weight = i[order], j[order], np.where(i[order] == j[order], 0.0, weight[order])
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
+    degree = np.bincount(i, np.abs(weight), n)
+
+    def times(block: np.ndarray) -> np.ndarray:
+        out = degree[:, None] * block
+        if len(first):
+            out[i[first]] -= np.add.reduceat(weight[:, None] * block[j], first, axis=0)
+        return out
+
+    width = min(n, k + SPARE_VECTORS)
+    block = np.linalg.qr(np.random.default_rng(0).standard_normal((n, width)))[0]
+    top = 2 * degree.max() + EPS  # no eigenvalue of a Laplacian lies above
+    before = None
+    for _ in range(FILTER_ROUNDS):
+        values, turn = np.linalg.eigh(block.T @ times(block))
+        block = block @ turn
+        if width == n or (before is not None and np.abs(values[:k] - before[:k]).max() <= FILTER_TOLERANCE * top):
+            break
+        before = values
+        low = max(values[-1], EPS)
+        middle, half = (top + low) / 2, max((top - low) / 2, EPS)
+        older, newer = block, (times(block) - middle * block) / half
+        for _ in range(FILTER_DEGREE - 1):
+            older, newer = newer, 2 * (times(newer) - middle * newer) / half - older
+            scale = np.abs(newer).max()
+            older, newer = older / scale, newer / scale
+        block = np.linalg.qr(newer)[0]
+    return block[:, :k]
+
+
+def nearest_centres(points: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+    """Clusters of points: centres start at the point farthest from the mean, then at the point farthest
+    from all centres; points and means are matched until no point changes its cluster."""
+    away = ((points - points.mean(0)) ** 2).sum(1)
+    centres = points[[int(away.argmax())]]
     for _ in range(1, k):
-        tries = np.searchsorted(np.cumsum(nearest), draw.random(MEANS_TRIALS) * nearest.sum()).clip(0, len(points) - 1)
-        left = [np.minimum(nearest, ((points - points[t]) ** 2).sum(1)) for t in tries]
-        best = int(np.argmin([x.sum() for x in left]))
-        centres.append(points[tries[best]])
-        nearest = left[best]
-    centres = np.array(centres)
-    labels = np.zeros(len(points), dtype=int)
-    for _ in range(MEANS_ROUNDS):
-        labels = ((points[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
-        moved = np.array(
-            [points[labels == c].mean(0) if (labels == c).any() else points[draw.integers(len(points))] for c in range(k)]
-        )
-        shift = np.sqrt(((moved - centres) ** 2).sum(1)).sum() ** 2
-        centres = moved
-        if shift < MEANS_STOP:
+        away = ((points[:, None] - centres[None]) ** 2).sum(2).min(1)
+        centres = np.vstack([centres, points[int(away.argmax())]])
+    labels = np.full(len(points), -1)
+    for _ in range(rounds):
+        fresh = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        if (fresh == labels).all():
             break
+        labels = fresh
+        size = np.bincount(labels, minlength=k)
+        sums = np.stack([np.bincount(labels, points[:, d], k) for d in range(points.shape[1])], axis=1)
+        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
     return labels
 
 
-def spectral_labels(graph: np.ndarray, k: int) -> np.ndarray:
-    """Clusters of the rows of the Laplacian's first ``k`` eigenvectors."""
-    if len(graph) == 1 or k == 1:
-        return np.zeros(len(graph), dtype=int)
-    _, vectors = spectrum(graph, vectors=True)
-    return k_means(vectors[:, :k][:, ::-1], k)
-
-
 def choose_counts(search: DataFrame, short: DataFrame | None = None, known: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """Speakers per recording: the known number if positive, else the count for short recordings, else
     that of the neighbour search (which also brings the neighbours to keep)."""
@@ -533,63 +566,53 @@ def choose_counts(search: DataFrame, short: DataFrame | None = None, known: Data
     return out.withColumn("speakers", F.coalesce(*order).cast("int")).drop("__short", "__known")
 
 
-# Rows up to which a recording is clustered in one task (a matrix of 32 MB); longer ones are clustered
-# on evenly spaced windows, and every window takes the cluster whose mean it is most similar to.
-CLUSTER_ROWS = 2048
-
-
 def cluster_speakers(
     rows: DataFrame,
     counts: DataFrame,
     keys: Sequence[str] = KEYS,
     weights: Sequence[float] = (1.0,),
     ranges: DataFrame | None = None,
-    most: int = CLUSTER_ROWS,
+    few_rows: int = FEW_ROWS,
 ) -> DataFrame:
-    """Speaker labels of the windows (``i, label``).
+    """Speaker labels of the windows (``i, label``), one path for recordings of every size.
 
-    ``counts`` brings per recording ``p`` (neighbours within the looked-at rows), ``p_full``, ``k`` and
-    ``speakers`` (see ``neighbour_search``; a known or otherwise counted number may replace it).
+    ``counts`` brings per recording ``p_full`` (neighbours to keep) and ``speakers`` (see
+    ``neighbour_search``; a known or otherwise counted number may replace it). Up to ``few_rows`` windows
+    the whole affinity is the graph. The neighbour edges are found tile by tile; a recording's task then
+    holds its edges, not its affinity matrix.
     """
     keys = list(keys)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    stride = F.when(F.col("n") <= most, 1).otherwise(F.ceil(F.col("n") / (most // 2)))
-    plan = cut_lineage(sizes.join(counts, keys).withColumn("stride", stride))
-    placed = spread_lookup(rows, plan, keys, F.col("i"))
-    slim = _with_ranges(
-        placed.filter(F.col("i") % F.col("stride") == 0).select(*keys, "i", "vectors", "owners", "p_full", "speakers", "stride"), ranges, keys
+    few = F.col("n") <= few_rows
+    plan = cut_lineage(
+        sizes.join(counts, keys).select(
+            *keys,
+            few.alias("few"),
+            F.when(few, F.col("n")).otherwise(F.greatest(F.lit(1), F.least("p_full", "n"))).cast("int").alias("p"),
+            F.least("speakers", "n").cast("int").alias("speakers"),
+        )
     )
+    most = plan.agg(F.max("p")).first()[0] or 1
+    found = neighbour_edges(rows, int(most), keys, weights, ranges, method="drop")
+    kept = spread_lookup(found, plan, keys, F.col("i")).filter(F.col("rank") <= F.col("p"))
+    graph = symmetrise(kept.withColumn("weight", F.when(F.col("few"), F.col("weight")).otherwise(F.lit(1.0))), keys)
+    ready = spread_lookup(graph, plan.select(*keys, "speakers"), keys, F.col("i"))
     key_fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def cluster(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i", ignore_index=True)
-        first = part.iloc[0]
-        affinity = fused_affinity(part, weights)
-        p = max(int(first["p_full"]) // int(first["stride"]), 1) if len(part) > FEW_ROWS else 0
-        labels = spectral_labels(neighbour_graph(affinity, p), int(min(first["speakers"], len(part))))
-        out = pd.DataFrame({"i": part["i"], "label": labels, "whole": int(first["stride"]) == 1, "vectors": part["vectors"]})
-        for at, name in enumerate(keys):
-            out.insert(at, name, key[at])
+        nodes, at = np.unique(np.concatenate([part["i"], part["j"]]), return_inverse=True)
+        i, j = at[: len(part)], at[len(part) :]
+        k = int(part["speakers"].iloc[0])
+        labels = np.zeros(len(nodes), dtype=int)
+        if k > 1:
+            vectors = smallest_vectors(i, j, part["weight"].to_numpy(), len(nodes), k)
+            labels = nearest_centres(vectors, k)
+        out = pd.DataFrame({"i": nodes, "label": labels})
+        for place, name in enumerate(keys):
+            out.insert(place, name, key[place])
         return out
 
-    labelled = cut_lineage(
-        slim.groupBy(*keys).applyInPandas(cluster, f"{key_fields}, i bigint, label int, whole boolean, vectors array<array<double>>")
-    )
-    done = labelled.filter("whole").select(*keys, "i", "label")
-    means = cluster_means(labelled.filter("not whole").select(*keys, "label", "vectors"), keys)
-    long = placed.filter(F.col("stride") > 1).select(*keys, "i", "vectors")
-    closest = spread_lookup(long, means.groupBy(*keys).agg(F.collect_list(F.struct("label", "mean")).alias("__m")), keys, F.col("i"))
-    scored = F.transform("__m", lambda m: F.struct(_fused_dot(m["mean"], F.col("vectors"), weights).alias("s"), (-m["label"]).alias("l")))
-    assigned = closest.select(*keys, "i", (-F.array_max(scored)["l"]).alias("label"))
-    return done.unionByName(assigned)
-
-
-def _fused_dot(mean: Column, vectors: Column, weights: Sequence[float]) -> Column:
-    flat = F.zip_with(mean, F.flatten(vectors), lambda a, b: a * b)
-    if len(set(weights)) > 1:
-        scaled = F.flatten(F.zip_with(vectors, F.array(*[F.lit(float(w)) for w in weights]), lambda v, w: F.transform(v, lambda x: x * w)))
-        flat = F.zip_with(mean, scaled, lambda a, b: a * b)
-    return F.aggregate(flat, F.lit(0.0), lambda s, x: s + x)
+    return ready.groupBy(*keys).applyInPandas(cluster, f"{key_fields}, i bigint, label int")
 
 
 def cluster_means(labelled: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

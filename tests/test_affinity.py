@@ -80,11 +80,38 @@ def test_clusters_match_the_speakers(spark):
     for r in data:
         part = labels[labels.recording_id == r].sort_values("i")
         assert len(part) == len(truth[r]) and agree(part.label, truth[r])
-    # the way of long recordings: clustered on every k-th window, the rest takes the nearest mean
-    spread = op.cluster_speakers(rows, counts, most=64).toPandas()
-    for r in (0, 1):
-        part = spread[spread.recording_id == r].sort_values("i")
-        assert len(part) == len(truth[r]) and agree(part.label, truth[r])
+    # a search over every k-th window only, and a known number of speakers
+    some = op.cluster_speakers(rows, op.neighbour_search(rows, search_rows=64)).toPandas()
+    known = op.cluster_speakers(rows.filter("recording_id = 0"), op.neighbour_search(rows, known=2)).toPandas()
+    for labelled, recordings in ((some, (0, 1)), (known, (0,))):
+        for r in recordings:
+            part = labelled[labelled.recording_id == r].sort_values("i")
+            assert len(part) == len(truth[r]) and agree(part.label, truth[r])
+
+
+def test_smallest_vectors_span_those_of_the_dense_matrix():
+    draw = np.random.default_rng(5)
+    dense = draw.random((60, 60)) * (draw.random((60, 60)) < 0.2)
+    dense = (dense + dense.T) / 2
+    i, j = np.nonzero(dense)
+    found = op.smallest_vectors(i, j, dense[i, j], 60, 3)
+    values, vectors = op.spectrum(dense, vectors=True)
+    assert values[3] - values[2] > 1e-6
+    assert np.allclose(np.linalg.svd(found.T @ vectors[:, :3])[1], 1, atol=1e-3)
+
+
+def test_chains_of_jumps_take_few_rounds(spark, monkeypatch):
+    from speechtables.plans import jumps
+
+    rounds = []
+    plain = jumps.cut_lineage
+    monkeypatch.setattr(jumps, "cut_lineage", lambda df: rounds.append(1) or plain(df))
+    n = 200
+    rows = [(0, i, i + 1 if i + 1 < n else None) for i in range(n)] + [(1, i, i + 3 if i + 3 < n else None) for i in range(n)]
+    frame = spark.createDataFrame(rows, "recording_id bigint, seq bigint, nxt bigint")
+    got = {(r.recording_id, r.seq) for r in jumps.visited(frame, ["recording_id"], "seq", "nxt").collect()}
+    assert got == {(0, i) for i in range(n)} | {(1, i) for i in range(0, n, 3)}
+    assert len(rounds) <= 2 + 3 * (n.bit_length() + 1)
 
 
 def test_short_counts(spark):
