@@ -66,7 +66,7 @@ def sessions(spark, sf):
         """with marked as (select *, case when lag(speaker) over w = speaker then 0 else 1 end as opens from segments window w as (partition by recording_id order by seq)),
         runs as (select *, sum(opens) over (partition by recording_id order by seq) as run from marked),
         u as (select recording_id, run, min(seq) as seq, min(start_ms) as start, max(end_ms) as "end", min(speaker) as speaker, string_agg(text, ' ' order by seq) || ' ' as text from runs group by recording_id, run)
-        select recording_id, seq, start, "end", speaker, text from u where run < (select max(run) from u u2 where u2.recording_id = u.recording_id)""",
+        select recording_id, seq, start, "end", speaker, text from u""",
     ),
 )
 def incremental(spark, sf):
@@ -81,7 +81,7 @@ def incremental(spark, sf):
         F.expr("cast((turn div 2) % 2 as int)").alias("speaker"),
         "text",
     )
-    return live.run_available(live.incremental_utterances(rows), run_folder(spark, "utterances"))
+    return live.all_utterances(rows, run_folder(spark, "utterances"))
 
 
 @job(

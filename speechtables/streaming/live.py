@@ -90,7 +90,8 @@ def incremental_utterances(segments: DataFrame, key: str = "recording_id", idle_
     """Utterances closed as soon as the speaker changes and, with ``idle_ms``, when a recording stays
     silent that long (timers keep a stream going, so leave them out with ``availableNow``).
 
-    Segments of a batch are put in order of ``seq``; the open utterance waits in a value state.
+    Segments of a batch are put in order of ``seq``; the open utterance waits in a value state, from which
+    ``open_utterances`` reads it when the input has ended.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -139,6 +140,19 @@ def incremental_utterances(segments: DataFrame, key: str = "recording_id", idle_
     )
 
 
+def open_utterances(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The utterances that ``incremental_utterances`` still holds, read from its finished run's state."""
+    held = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
+    payload = F.from_json("value.payload", "seq bigint, start bigint, end bigint, speaker int, text string").alias("u")
+    return held.select(F.col("key.recording_id").alias("recording_id"), payload).select("recording_id", "u.*")
+
+
+def all_utterances(segments: DataFrame, folder: str) -> DataFrame:
+    """Every utterance of what is there now: those closed during the run, then the open ones."""
+    closed = run_available(incremental_utterances(segments), folder)
+    return closed.unionByName(open_utterances(segments.sparkSession, f"{folder}/checkpoint"))
+
+
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and read its result.
 
