@@ -18,7 +18,7 @@ def strip_sql(x: str) -> str:
 def punct_sql(x: str) -> str:
     """The clean-up as nested SQL calls; ``\\b`` is spelled out because RE2's is ASCII only."""
     s = "stripped"
-    s = f"(case when {s}[1] = 'ß' then 'SS' else upper({s}[1]) end || {s}[2:])"
+    s = f"(case when {s}[1] = 'ß' then 'SS' when regexp_matches({s}[1], '^\\p{{Ll}}') then upper({s}[1]) else {s}[1] end || {s}[2:])"
     s = f"(case when stripped[-1] in ('.', '?', '!', ':', ';', ',') then {s} else {s} || '.' end)"
     s = f"replace({s}, '...', '')"
     for mark in "?!.,:;":

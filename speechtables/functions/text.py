@@ -43,7 +43,9 @@ def format_punct(text: Column) -> Column:
 
 def _begin_and_close(x: Column) -> Column:
     closed = F.when(F.substring(x, -1, 1).isin(CLOSING_MARKS), F.lit("")).otherwise(F.lit("."))
-    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)), closed)
+    first = F.substring(x, 1, 1)
+    begun = F.when(first.rlike(r"^\p{Ll}"), F.upper(first)).otherwise(first)
+    return F.concat(begun, F.substring(x, F.lit(2), F.length(x)), closed)
 
 
 def compact_words(text: Column) -> Column:

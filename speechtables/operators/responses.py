@@ -13,9 +13,35 @@ from speechtables.operators.utterances import finish, reconstruct
 from speechtables.plans.intervals import time_block
 from speechtables.plans.ordered import with_ordinal
 from speechtables.plans.skew import spread_lookup
+from speechtables.schemas import OPTIONS
 
 KEYS = ("recording_id",)
 
+# The options a response repeats and their types, in the document's order.
+ECHOED = dict(field.split(" ", 1) for field in OPTIONS.split(", "))
+
+
+def response_documents(jobs: DataFrame, utterances: DataFrame, times: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One nested row per job: its utterances in order, the options it asked for and the stage times.
+
+    ``jobs`` (with ``audio_duration``) have their defaults, ``utterances`` bring ``part, text, start, end,
+    speaker, words`` (words are kept where the job wants them), ``times`` the four stage times. A job
+    without utterances has an empty list; its text is part of one document, as in the document itself.
+    """
+    item = F.struct("part", "text", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.col("speaker").cast("int").alias("speaker"), "words")
+    listed = utterances.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__u"))
+    stages = F.struct(*[F.col(n).cast("double").alias(n) for n in ("total", "transcription", "diarization", "post_processing")])
+    clocked = times.select(*keys, stages.alias("process_times"))
+    echoed = [(F.col(n) if n in jobs.columns else F.lit(None)).cast(kind).alias(n) for n, kind in ECHOED.items()]
+    wanted = F.coalesce("word_timestamps", F.lit(False))
+    bare = F.transform(
+        F.coalesce("__u", F.array().cast(listed.schema["__u"].dataType)),
+        lambda u: F.struct(u["text"].alias("text"), u["start"].alias("start"), u["end"].alias("end"), u["speaker"].alias("speaker"), F.when(wanted, u["words"]).alias("words")),
+    )
+    return jobs.join(listed, list(keys), "left").join(clocked, list(keys), "left").select(
+        bare.alias("utterances"), F.col("audio_duration").cast("double").alias("audio_duration"), *echoed, "process_times"
+    )
+
 
 def job_utterances(
     jobs: DataFrame,

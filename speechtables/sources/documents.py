@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechtables.operators import scoring
-from speechtables.operators.jobs import with_defaults
+from speechtables.operators.jobs import ERROR_SOURCES, with_defaults
 from speechtables.schemas import JOBS, RESPONSE
 
 # Events stay available this many days; the value a missing name takes in an object key.
@@ -16,9 +17,9 @@ RETENTION_DAYS = 5
 MISSING = "None"
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response documents, one (possibly indented) JSON document per file."""
-    return spark.read.schema(RESPONSE).json(path, multiLine=True)
+def read_responses(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Response documents: one (possibly indented) document per file, or else one per line."""
+    return spark.read.schema(RESPONSE).json(path, multiLine=one_per_file)
 
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
@@ -33,9 +34,10 @@ def object_key(task_token: Column, job_name: Column) -> Column:
 
 
 def write_responses(responses: DataFrame, path: str, mode: str = "append") -> None:
-    """Responses as JSON, one folder per token and job; null fields are written, too."""
+    """Responses as JSON lines, many to a file, each beside the key it is stored under; null fields are
+    written, too."""
     keyed = responses.withColumn("object_key", object_key(F.col("task_token"), F.col("job_name")))
-    keyed.write.mode(mode).option("ignoreNullFields", "false").partitionBy("task_token", "job_name").json(path)
+    keyed.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def manifest_lines(files: DataFrame) -> DataFrame:
@@ -78,6 +80,17 @@ def split_errors(results: DataFrame, error: str = "error") -> tuple[DataFrame, D
     return good, bad
 
 
+def dead_letters(stages: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
+    """(job, source, message) of the failed rows of several stages: (source, rows, column that names the job)."""
+    letters = []
+    for source, rows, job in stages:
+        if source not in ERROR_SOURCES:
+            raise ValueError(f"unknown error source {source}")
+        _, bad = split_errors(rows)
+        letters.append(bad.select(F.col(job).cast("string").alias("job"), F.lit(source).alias("source"), F.col("error").alias("message")))
+    return reduce(DataFrame.unionByName, letters)
+
+
 def transcript_lines(pairs: DataFrame, key: str = "utt_id") -> DataFrame:
     """Reference and hypothesis of every utterance, a line each."""
     name = F.col(key).cast("string")
