@@ -104,9 +104,7 @@ def latest(spark, sf):
     folder = run_folder(spark, "status")
     writer = events(spark, sf).writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     writer.foreachBatch(live.upsert_status(f"{folder}/table")).start().awaitTermination()
-    every = spark.read.parquet(f"{folder}/table")
-    newest = every.filter(F.col("version") == every.agg(F.max("version")).first()[0])
-    return newest.select("job", "status", F.unix_micros("ts").alias("ts_us"))
+    return live.read_status(spark, f"{folder}/table").select("job", "status", F.unix_micros("ts").alias("ts_us"))
 
 
 @job("repeated_events_r6", "select distinct user_id as job, event_type as status from events")

@@ -71,21 +71,39 @@ def latest_status(events: DataFrame, known: DataFrame | None = None, ts: str = "
     return every.groupBy(key).agg(last.alias("l")).select(key, "l.status", f"l.{ts}")
 
 
-def upsert_status(path: str) -> Callable[[DataFrame, int], None]:
+STATUS_BUCKETS = 64
+
+
+def upsert_status(path: str, key: str = "job", buckets: int = STATUS_BUCKETS) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer that keeps the last status per job.
 
-    State is written as version ``batch id`` next to the one before, so a repeated batch writes the
-    same version again; readers take the highest finished version.
+    Jobs are dealt into ``buckets`` by hash; a batch writes version ``batch id`` of the buckets it touches
+    and leaves the others alone, so a repeated batch writes the same again. See ``read_status``.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = spark.read.parquet(f"{path}/version={number - 1}") if number else None
-        latest_status(batch, known).write.mode("overwrite").parquet(f"{path}/version={number}")
+        dealt = batch.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets)))
+        touched = [row["bucket"] for row in dealt.select("bucket").distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return
+        known = None
+        if number:
+            known = read_status(spark, path, F.col("bucket").isin(touched) & (F.col("version") < number))
+        last = latest_status(batch, known, key=key).withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets)))
+        last.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
 
     return write
 
 
+def read_status(spark: SparkSession, path: str, only: Column | None = None) -> DataFrame:
+    """The last status per job: every bucket's highest version."""
+    every = spark.read.option("basePath", path).parquet(f"{path}/version=*")
+    every = every if only is None else every.filter(only)
+    newest = every.groupBy("bucket").agg(F.max("version").alias("version"))
+    return every.join(newest, ["bucket", "version"]).drop("bucket", "version")
+
+
 def incremental_utterances(segments: DataFrame, key: str = "recording_id", idle_ms: int | None = None) -> DataFrame:
     """Utterances closed as soon as the speaker changes and, with ``idle_ms``, when a recording stays
     silent that long (timers keep a stream going, so leave them out with ``availableNow``).

@@ -95,5 +95,6 @@ def test_status_upsert_over_batches(spark, tmp_path):
     write(first, 0)
     write(second, 1)
     write(second, 1)  # a repeated batch changes nothing
-    got = {r.job: r.status for r in spark.read.parquet(str(tmp_path / "status" / "version=1")).collect()}
+    got = {r.job: r.status for r in live.read_status(spark, str(tmp_path / "status")).collect()}
     assert got == {"a": "finished", "b": "queued"}
+    assert spark.read.parquet(str(tmp_path / "status" / "version=1")).count() == 1  # only what the batch touched
