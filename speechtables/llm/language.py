@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ from speechtables.llm.common import id_bucket, slices
 ORDER = 4
 BITS = 6
 _RANGES = 8
+_FAN, _LEVELS = 128, 3  # tables summed at once, and levels: 128**3 tasks
 _SLICE = 4 << 20
 
 
@@ -82,13 +84,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 old = held[language]
                 found, counts = _summed(np.concatenate([old[0], found]), np.concatenate([old[1], counts]))
             held[language] = found, counts
+    part = TaskContext.get().partitionId()
     for language, (keys, counts) in held.items():
         edges = np.searchsorted(keys, np.arange(1, _RANGES) * (1 << BITS * ORDER) // _RANGES)
         for number, (k, c) in enumerate(zip(np.split(keys, edges), np.split(counts, edges))):
             if len(k):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([language]), pa.array([number], pa.int32()), pa.array([k.astype("<i4").tobytes()]), pa.array([c.astype("<i8").tobytes()])],
-                    names=["lang", "range", "keys", "counts"],
+                    [pa.array([language]), pa.array([number], pa.int32()), pa.array([part], pa.int64()), pa.array([k.astype("<i4").tobytes()]), pa.array([c.astype("<i8").tobytes()])],
+                    names=["lang", "range", "part", "keys", "counts"],
                 )
 
 
@@ -99,6 +102,8 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "lang": pa.array([table["lang"][0].as_py()]),
+            "range": pa.array([table["range"][0].as_py()], pa.int32()),
+            "part": pa.array([table["part"][0].as_py()], pa.int64()),
             "keys": pa.array([keys.astype("<i4").tobytes()]),
             "counts": pa.array([counts.astype("<i8").tobytes()]),
         }
@@ -212,8 +217,10 @@ def _margins(sums: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def fit_identifier(rows: DataFrame, calibration_rows: int = 2000) -> Identifier:
     """Learn from rows (text, lang); rows without a language are left out."""
     rows = rows.select("text", "lang").filter("text is not null and lang is not null")
-    counted = rows.mapInArrow(_count, "lang string, range int, keys binary, counts binary")
-    merged = counted.groupBy("lang", "range").applyInArrow(_merge, "lang string, keys binary, counts binary")
+    schema = "lang string, range int, part bigint, keys binary, counts binary"
+    merged = rows.mapInArrow(_count, schema)
+    for _ in range(_LEVELS):  # a tree: no group gets more than _FAN tables
+        merged = merged.withColumn("part", F.expr(f"part div {_FAN}")).groupBy("lang", "range", "part").applyInArrow(_merge, schema)
     got: dict[str, list] = {}
     for row in merged.toLocalIterator():  # at most 64**4 keys a language
         got.setdefault(row["lang"], []).append((np.frombuffer(row["keys"], "<i4"), np.frombuffer(row["counts"], "<i8")))
