@@ -227,9 +227,7 @@ def fit_identifier(rows: DataFrame, calibration_rows: int = 2000) -> Identifier:
     languages = tuple(sorted(got))
     models = []
     for language in languages:
-        keys, counts = (np.concatenate(x) for x in zip(*got[language]))
-        order = np.argsort(keys)
-        models.append(fit_model(keys[order], counts[order]))
+        models.append(fit_model(*_summed(*(np.concatenate(x) for x in zip(*got[language])))))
     plain = Identifier(languages, tuple(models))
     if not languages:
         return plain
