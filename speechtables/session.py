@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, str] = {}
+_RUNS: list[str] = []
 
 
 def build_session(app: str = "speechtables", master: str | None = None, **conf: str) -> SparkSession:
@@ -64,7 +65,18 @@ def ship_package(spark: SparkSession) -> None:
 
 def run_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one, for the files of one run."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _RUNS.append(folder)
+    return folder
+
+
+def remove_run_folders(spark: SparkSession) -> int:
+    """Delete the run folders this driver has made; call it when no result is read from them any more."""
+    removed = 0
+    while _RUNS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_RUNS.pop())
+        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
