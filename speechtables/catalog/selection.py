@@ -44,6 +44,26 @@ def vote(spark, sf):
     return op.vote_with_confidence(t.lang_probs(spark, sf).withColumnRenamed("pct", "prob"), confident=70)
 
 
+@job(
+    "language_or_silence_q3",
+    t.sql(
+        "lang_probs",
+        """with l as (select recording_id, language, count(*) as n, avg(pct) as mean, count(*) filter (pct > 70) as sure, min(seg) as f from lang_probs group by recording_id, language),
+        r as (select *, row_number() over (partition by recording_id order by n desc, mean desc, f) as rk, sum(n) over (partition by recording_id) as total from l),
+        loud as (select doc_id % 60 as recording_id, max(n_chars % 5) / 100.0::double as peak, avg(n_chars % 3) as rms from documents group by 1)
+        select loud.recording_id, case when language is null or (sure <> total and (peak < 0.01 or rms < 0.01)) then 'silence' else language end as language,
+            case when language is null or (sure <> total and (peak < 0.01 or rms < 0.01)) then 1.0::double else mean end as confidence
+        from loud left join (select * from r where rk = 1) v using (recording_id)""",
+    ),
+)
+def vote_or_silence(spark, sf):
+    docs = t.read(spark, sf, "documents")
+    levels = docs.groupBy((F.col("doc_id") % 60).alias("recording_id")).agg(
+        (F.max(F.col("n_chars") % 5) / 100.0).alias("peak"), F.avg(F.col("n_chars") % 3).alias("rms")
+    )
+    return op.vote_or_silence(t.lang_probs(spark, sf).withColumnRenamed("pct", "prob"), levels, confident=70)
+
+
 @job(
     "language_vote_early_q4",
     t.sql(

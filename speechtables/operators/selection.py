@@ -86,6 +86,23 @@ def vote_with_confidence(tops: DataFrame, keys: Sequence[str] = KEYS, confident:
     )
 
 
+# Fixed value: peak or RMS below which audio counts as quiet.
+QUIET = 0.01
+
+
+def vote_or_silence(tops: DataFrame, levels: DataFrame, keys: Sequence[str] = KEYS, confident: float = CONFIDENT) -> DataFrame:
+    """The vote for every recording of ``levels`` (``peak, rms``): ``silence`` where nothing was detected, or
+    where the segments do not agree with confidence and the audio is quiet."""
+    voted = levels.join(vote_with_confidence(tops, keys, confident), list(keys), "left")
+    quiet = (F.col("peak") < QUIET) | (F.col("rms") < QUIET)
+    silent = F.col("language").isNull() | (~F.col("unanimous") & quiet)
+    return voted.select(
+        *keys,
+        F.when(silent, "silence").otherwise(F.col("language")).alias("language"),
+        F.when(silent, 1.0).otherwise(F.col("confidence")).alias("confidence"),
+    )
+
+
 def vote_first_sure(tops: DataFrame, threshold: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """Language of the first segment above ``threshold``; without one the most frequent language (ties:
     the earlier) with its highest probability."""

@@ -64,3 +64,12 @@ def test_report_files(spark, tmp_path):
     doc.write_report(sections, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/deletions.parquet").count() == 1
     assert spark.read.parquet(f"{tmp_path}/summary.parquet").first()["errors"] == 5
+
+
+def test_a_quiet_recording_without_agreement_is_silence(spark):
+    from speechtables.operators import selection
+
+    tops = spark.createDataFrame([(0, 0, "en", 0.9), (0, 1, "en", 0.8), (1, 0, "en", 0.9), (1, 1, "de", 0.4), (2, 0, "fr", 0.5)], "recording_id bigint, seg bigint, language string, prob double")
+    levels = spark.createDataFrame([(0, 0.001, 0.5), (1, 0.5, 0.001), (2, 0.5, 0.5), (3, 0.5, 0.5)], "recording_id bigint, peak double, rms double")
+    got = {r.recording_id: (r.language, round(r.confidence, 6)) for r in selection.vote_or_silence(tops, levels, confident=0.7).collect()}
+    assert got == {0: ("en", 0.85), 1: ("silence", 1.0), 2: ("fr", 0.5), 3: ("silence", 1.0)}
