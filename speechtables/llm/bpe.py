@@ -34,6 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASE = 0x10000  # the symbol of id 0
 MAPS = 1 << 14
@@ -210,7 +211,7 @@ def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every row of ``documents`` (doc_id, text)."""
     ranks = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    schema = documents.select("doc_id").schema.add("ids", "array<int>")
+    schema = documents.select("doc_id").schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(ranks)
