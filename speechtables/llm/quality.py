@@ -16,6 +16,7 @@ that repeat for a document are all used; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -43,6 +44,7 @@ _PUNCT = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _SHAPE = bytes(
     65 if b in _UPPER else 97 if b in _LOWER or b in _HIGH else 48 if b in _DIGIT else b for b in range(256)
 )
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 @dataclass(frozen=True)
@@ -65,7 +67,7 @@ class Features:
 
     def _buckets(self, word: bytes) -> tuple[int, int]:
         shape = word.translate(_SHAPE)
-        short = bytes(c for i, c in enumerate(shape[:64]) if i == 0 or shape[i - 1] != c)
+        short = _RUN.sub(rb"\1", shape)
         pair = crc32(word.lower()) % WORDS, WORDS + crc32(short) % WORDS
         if len(self._known) < _CACHE and len(word) <= 48:
             self._known[word] = pair

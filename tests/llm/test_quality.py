@@ -58,3 +58,16 @@ def test_labels_of_the_held_out_fold_are_not_learnt(spark):
     flipped = [spark.createDataFrame([(i, int(i % 2 == v) if i in ids else int(i % 7 > 2), 0) for i in range(200)], LABELS) for v in (0, 1)]
     first, second = ({r["doc_id"]: r["score"] for r in quality.quality_scores(frame, x).collect()} for x in flipped)
     assert first == second
+
+
+def test_shape_covers_the_whole_word():
+    features = quality.Features()
+    head = b"Ab1-" * 20
+    for tail in (b"", b"xyz" * 200, b"a" * 10**6):
+        plain, last = bytearray(), None
+        for c in (head + tail).translate(quality._SHAPE):
+            if c != last:
+                plain.append(c)
+            last = c
+        assert features._buckets(head + tail)[1] == quality.WORDS + quality.crc32(bytes(plain)) % quality.WORDS
+    assert features._buckets(head + b"x1" * 40)[1] != features._buckets(head + b"X-" * 40)[1]
