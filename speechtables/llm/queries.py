@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtables.llm import audio, bpe, chat, language, packing, quality, secrets, simhash, suffixes, topk
+from speechtables.llm import audio, bpe, chat, language, packing, quality, secrets, simhash, suffixes, topk, whitening
 from speechtables.llm.common import read_table, stored
 from speechtables.session import run_folder
 
@@ -175,3 +175,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("ids_sha256"),
         F.sha2(bpe.decoded(F.col("ids"), known), 256).alias("decoded_sha256"),
     )
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read_table(spark, sf_dir, "embeddings"), components=32)
