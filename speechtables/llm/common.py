@@ -27,8 +27,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     The shuffle files of the write are removed with its end; the table replaces them.
     """
+    return stored_at(df, run_folder(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """The same in a folder of the caller's choice."""
     spark = df.sparkSession
-    path = run_folder(spark, name)
     before = spark.conf.get(_DROP_SHUFFLES, "false")
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtables.llm import audio, bpe, chat, crosstokens, language, packing, quality, secrets, simhash, suffixes, topk, whitening
+from speechtables.llm import audio, bpe, chat, crosstokens, language, ngrams, packing, quality, secrets, simhash, suffixes, topk, whitening
 from speechtables.llm.common import read_table, stored
 from speechtables.session import run_folder
 
@@ -182,6 +182,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstokens.alignments(read_table(spark, sf_dir, "documents"))[0]
 
 
+@query("op12_elias_fano_language_model")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.scored(read_table(spark, sf_dir, "documents"))[0]
+
+
 @query("op13_embedding_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(read_table(spark, sf_dir, "embeddings"), components=32)
