@@ -301,7 +301,7 @@ def scored(
     documents: DataFrame,
     modulus: int = 7,
     held_out: int = 2,
-    strengths: tuple[float, float] = (20.0, 2.0),
+    strengths: tuple[float, float] = (3000.0, 10.0),
     chunk_tokens: int = CHUNK,
     shard_rows: int = SHARD,
 ) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ def code(p):
     return int(code_of(np.array([p]))[0])
 
 
-def plain(rows, strengths=(20.0, 2.0)):
+def plain(rows, strengths=(3000.0, 10.0)):
     """The model of the module by dictionaries of n-grams, its scores in steps."""
     wide, narrow = strengths
     held = [i is not None and crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
