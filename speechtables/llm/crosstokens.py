@@ -21,7 +21,6 @@ are kept; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 from collections.abc import Iterator
@@ -90,59 +89,88 @@ def encoders(byte_path: str | None = None, piece_path: str | None = None) -> tup
     return ByteTokens(byte_path), PieceTokens(piece_path or public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def aligned(a: tuple[int, ...], b: tuple[int, ...], a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[str, int, np.ndarray]:
-    """One window: its groups as text, their number, and its links as a * 2**32 + b; sizes are by id."""
-    a_ends, b_ends = np.cumsum(a_sizes[list(a)]), np.cumsum(b_sizes[list(b)])
-    shared = np.intersect1d(a_ends, b_ends)
-    a_cut, b_cut = np.searchsorted(a_ends, shared) + 1, np.searchsorted(b_ends, shared) + 1
-    groups, i, j = [], 0, 0
-    for x, y in zip(a_cut.tolist(), b_cut.tolist()):
-        groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-        i, j = x, y
-    ends = np.union1d(a_ends, b_ends)  # each stretch between two ends is the overlap of one pair
-    left, right = np.array(a, np.int64)[np.searchsorted(a_ends, ends)], np.array(b, np.int64)[np.searchsorted(b_ends, ends)]
-    return ";".join(groups), len(groups), left << 32 | right
-
-
 class Windows:
-    """Memo of aligned windows. Pairs are numbered in the order they are met."""
+    """Memo of aligned windows by their two id tuples (packed as bytes); windows are numbered in the order they are met.
+
+    ``numbers`` looks windows up, ``align`` then aligns all new ones at once: put one after another they are one text,
+    in which no group or link crosses from one window into the next.
+    """
 
     def __init__(self, a: ByteTokens, b: PieceTokens):
         self._a, self._b = a.bytes, b.bytes
-        self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], np.int64) for x in (a.bytes, b.bytes))
+        self._a_sizes, self._b_sizes = (np.array([len(t) for t in x], np.int64) for x in (a.bytes, b.bytes))
         self._a_blank, self._b_blank = (np.array([t[:1] == b" " for t in x]) for x in (a.bytes, b.bytes))
         self.clear()
 
     def clear(self) -> None:
         self.memo: dict[tuple, int] = {}
         self.texts: list[str] = []
-        self.n_groups: list[int] = []
-        self.links: list[np.ndarray] = []
+        self._new: list[tuple] = []
+        self._n_groups = self._links = np.zeros(0, np.int64)
+        self._edges = np.zeros(1, np.int64)
 
-    def of(self, text: str, a: list[int], b: list[int]) -> list[int]:
-        """The windows of one text by number, in order; none if the tokens do not join to it."""
+    def numbers(self, text: str, a: list[int], b: list[int]) -> list[int]:
+        """The windows of one text, in order; none if the tokens do not join to it."""
         spelled = b" " + text.encode()
         if not text or b"".join(map(self._a.__getitem__, a)) != spelled or b"".join(map(self._b.__getitem__, b)) != spelled:
             return []
         i, j = np.array(a, np.int64), np.array(b, np.int64)
-        a_ends, b_ends = np.cumsum(self.a_sizes[i]), np.cumsum(self.b_sizes[j])
         starts_a = np.flatnonzero(self._a_blank[i[1:]]) + 1
         starts_b = np.flatnonzero(self._b_blank[j[1:]]) + 1
-        _, x, y = np.intersect1d(a_ends[starts_a - 1], b_ends[starts_b - 1], assume_unique=True, return_indices=True)
-        a_cuts, b_cuts = [0, *starts_a[x].tolist(), len(a)], [0, *starts_b[y].tolist(), len(b)]
+        at_a, at_b = np.cumsum(self._a_sizes[i])[starts_a - 1], np.cumsum(self._b_sizes[j])[starts_b - 1]
+        place = np.searchsorted(at_b, at_a)
+        place[place == len(at_b)] = 0
+        met = np.flatnonzero(at_b[place] == at_a) if len(at_b) else np.zeros(0, np.int64)
+        a_cuts, b_cuts = (4 * starts_a[met]).tolist(), (4 * starts_b[place[met]]).tolist()
         memo, out = self.memo, []
-        for k in range(len(a_cuts) - 1):
-            key = (tuple(a[a_cuts[k] : a_cuts[k + 1]]), tuple(b[b_cuts[k] : b_cuts[k + 1]]))
+        left, right = i.astype("<i4").tobytes(), j.astype("<i4").tobytes()
+        lo_a = lo_b = 0
+        for hi_a, hi_b in zip([*a_cuts, len(left)], [*b_cuts, len(right)]):
+            key = (left[lo_a:hi_a], right[lo_b:hi_b])
+            lo_a, lo_b = hi_a, hi_b
             at = memo.get(key)
             if at is None:
                 at = memo[key] = len(memo)
-                spelling, n, links = aligned(*key, self.a_sizes, self.b_sizes)
-                self.texts.append(spelling)
-                self.n_groups.append(n)
-                self.links.append(links)
+                self._new.append(key)
             out.append(at)
         return out
 
+    def align(self) -> None:
+        if not self._new:
+            return
+        left, right = zip(*self._new)
+        self._new = []
+        a, b = (np.frombuffer(b"".join(x), "<i4").astype(np.int64) for x in (left, right))
+        a_ends, b_ends = np.cumsum(self._a_sizes[a]), np.cumsum(self._b_sizes[b])
+        closing = a_ends[np.cumsum([len(x) // 4 for x in left]) - 1]
+        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_cuts, b_cuts = (np.searchsorted(ends, shared) + 1 for ends in (a_ends, b_ends))
+        a_names, b_names = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        groups, i, j = [], 0, 0
+        for x, y in zip(a_cuts.tolist(), b_cuts.tolist()):
+            groups.append(f"{','.join(a_names[i:x])}|{','.join(b_names[j:y])}")
+            i, j = x, y
+        last = np.searchsorted(shared, closing, "right")
+        i = 0
+        for x in last.tolist():
+            self.texts.append(";".join(groups[i:x]))
+            i = x
+        ends = np.union1d(a_ends, b_ends)  # each stretch between two ends is the overlap of one pair
+        links = a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]
+        edges = np.searchsorted(ends, closing, "right") + self._edges[-1]
+        self._n_groups = np.concatenate([self._n_groups, np.diff(last, prepend=0)])
+        self._links, self._edges = np.concatenate([self._links, links]), np.concatenate([self._edges, edges])
+
+    def groups(self, windows: list[int]) -> tuple[int, str]:
+        """Number and text of the groups of successive windows."""
+        return int(self._n_groups[windows].sum()), ";".join(map(self.texts.__getitem__, windows))
+
+    def links(self, windows: list[int]) -> np.ndarray:
+        """All links of the windows, a * 2**32 + b."""
+        start = self._edges[windows]
+        size = self._edges[np.array(windows) + 1] - start
+        return self._links[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
 
 _CHUNKS = (
     "chunk bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
@@ -196,16 +224,16 @@ def aligned_chunks(documents: DataFrame, byte_path: str | None, piece_path: str
         chunk = _Chunk(number)
         for batch in slices(batches, _SLICE, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, text, i, j in zip(batch.column("doc_id").to_pylist(), texts, a.encode(texts), b.encode(texts)):
-                if len(windows.memo) >= memo:
-                    windows.clear()
-                found = windows.of(text, i, j)
+            if len(windows.memo) >= memo:
+                windows.clear()
+            ids = list(zip(a.encode(texts), b.encode(texts)))
+            numbers = [windows.numbers(text, *both) for text, both in zip(texts, ids)]
+            windows.align()
+            for doc_id, (i, j), found in zip(batch.column("doc_id").to_pylist(), ids, numbers):
                 if found:
-                    groups = ";".join(map(windows.texts.__getitem__, found))
+                    n_groups, groups = windows.groups(found)
                     digest = hashlib.sha256(groups.encode()).hexdigest()
-                    links = np.concatenate(list(map(windows.links.__getitem__, found)))
-                    n_groups = sum(map(windows.n_groups.__getitem__, found))
-                    chunk.add(doc_id, len(i), len(j), n_groups, digest, *np.unique(links, return_counts=True))
+                    chunk.add(doc_id, len(i), len(j), n_groups, digest, *np.unique(windows.links(found), return_counts=True))
                 else:
                     chunk.add(doc_id, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
                 if chunk.tokens >= chunk_tokens or len(chunk.rows) >= 1 << 14:
