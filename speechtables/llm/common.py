@@ -30,13 +30,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return stored_at(df, run_folder(df.sparkSession, name))
 
 
-def stored_at(df: DataFrame, path: str) -> DataFrame:
+def stored_at(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """The same in a folder of the caller's choice."""
     spark = df.sparkSession
     before = spark.conf.get(_DROP_SHUFFLES, "false")
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -134,7 +134,8 @@ def trie_levels(pair: np.ndarray, v: np.ndarray, w: np.ndarray, u: np.ndarray, p
     context = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
     number = np.cumsum(np.r_[False, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
     own = number[pair]
-    order = np.lexsort((u, own))
+    narrow = not len(u) or (int(u.max()) < 1 << 32 and len(context) < 1 << 31)
+    order = np.argsort(own << 32 | u) if narrow else np.lexsort((u, own))
     fresh = np.r_[True, (np.diff(own[order]) != 0) | (np.diff(u[order]) != 0)] if len(u) else np.zeros(0, bool)
     place = np.empty(len(u), np.int64)
     place[order] = np.cumsum(fresh) - 1
@@ -151,11 +152,21 @@ def trie_levels(pair: np.ndarray, v: np.ndarray, w: np.ndarray, u: np.ndarray, p
         ef_bytes(_raised(before_u, before_at)),
         ef_bytes(ends(starts, len(u))),
         ef_bytes(_raised(relative, starts)),
-        pair_code.astype("<u2").tobytes(),
-        code.astype("<u2").tobytes(),
+        _planes(pair_code),
+        _planes(code),
     ]
 
 
+def _planes(code: np.ndarray) -> bytes:
+    """16-bit codes, all low bytes before all high ones."""
+    return np.ascontiguousarray(code, "<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _code_at(planes: memoryview, i: np.ndarray) -> np.ndarray:
+    low, high = np.frombuffer(planes, np.uint8).reshape(2, -1)
+    return low[i] | high[i].astype(np.int64) << 8
+
+
 class Trie:
     """Mapped levels: contexts v, their successors w, the words u before them, and the trigrams."""
 
@@ -165,7 +176,13 @@ class Trie:
         self._successors = Children(maps[1], maps[2])
         self._before = Children(maps[3], maps[4])
         self._trigrams = Children(maps[5], maps[6])
-        self.pair_codes, self.codes = np.frombuffer(maps[7], "<u2"), np.frombuffer(maps[8], "<u2")
+        self._pair_codes, self._codes = maps[7:]
+
+    def pair_codes(self, i: np.ndarray) -> np.ndarray:
+        return _code_at(self._pair_codes, i)
+
+    def codes(self, i: np.ndarray) -> np.ndarray:
+        return _code_at(self._codes, i)
 
     def pairs(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the context v and of the pair (v, w); -1: not there."""

@@ -171,7 +171,7 @@ class _Tables:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         self._paths[name] = run_folder(self._spark, f"ngram-{name}")
-        return stored_at(df, self._paths[name])
+        return stored_at(df, self._paths[name], "zstd")
 
     def remove(self, *names: str) -> None:
         for name in names:
@@ -196,20 +196,29 @@ class _Read:
     def extra(self, i: int, kind: str = "<i8") -> np.ndarray:
         return unpack(self.data[len(_PIECES) + 1 + i], kind)
 
+    def _counted(self, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys and how many of them are at training tokens: sorted with that mark as the lowest bit."""
+        key = np.sort(key << np.uint64(1) | self.train[at].astype(np.uint64))
+        mark, key = (key & np.uint64(1)).astype(np.int64), key >> np.uint64(1)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return key[first], np.add.reduceat(mark, first)
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct neighbours (v << 21 | w), the words before a piece included, and their training counts."""
         tail = np.ones(len(self.code), bool)
         tail[self.start] = False
         at = np.flatnonzero(tail)
-        key = self.code[at - 1].astype(np.uint64) << _BITS | self.code[at].astype(np.uint64)
-        distinct, which = np.unique(key, return_inverse=True)
-        return distinct, np.bincount(which, self.train[at], len(distinct)).astype(np.int64)
+        return self._counted(self.code[at - 1].astype(np.uint64) << _BITS | self.code[at].astype(np.uint64), at)
 
-    def trigrams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct trigrams (v << 42 | w << 21 | u), and the number of each scored token's."""
+    def trigram_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(v << 42 | w << 21 | u) of every scored token, and the token's place."""
         at = np.flatnonzero(self.scored)
         v, w, u = (self.code[at - k].astype(np.uint64) for k in (1, 0, 2))
-        return np.unique(v << np.uint64(42) | w << _BITS | u, return_inverse=True)
+        return v << np.uint64(42) | w << _BITS | u, at
+
+    def trigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct trigrams and their training counts."""
+        return self._counted(*self.trigram_keys())
 
 
 _LOW = np.uint64((1 << 21) - 1)
@@ -407,14 +416,12 @@ def scored(
     tables.remove("named", "pairs")
 
     # 3. trigrams
-    def trigram_keys(read: _Read) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
-        trigrams, which = read.trigrams()
-        v, w, u = trigrams >> np.uint64(42), trigrams >> _BITS & _LOW, trigrams & _LOW
-        return trigrams, which, (v, w, u), np.cumsum(read.extra(0))
+    def words_in(trigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return trigrams >> np.uint64(42), trigrams >> _BITS & _LOW, trigrams & _LOW
 
     def ask_trigrams(read: _Read) -> Iterator[tuple[int, list[bytes]]]:
-        trigrams, which, (v, w, u), ids = trigram_keys(read)
-        n = np.bincount(which, read.train[read.scored], len(trigrams)).astype(np.int64)
+        trigrams, n = read.trigrams()
+        (v, w, u), ids = words_in(trigrams), np.cumsum(read.extra(0))
         counts, context = read.extra(1), read.extra(2)
         pairs, _ = read.pairs()
         pair_counts = read.extra(4)
@@ -439,7 +446,8 @@ def scored(
         two[pair_of], uv[which] = column(5), column(4)
         n = np.bincount(which, column(3)).astype(np.int64)
         there = n > 0
-        kept, own = np.unique(pair[there], return_inverse=True)
+        fresh = np.r_[True, np.diff(pair[there]) != 0][: there.sum()]
+        kept, own = pair[there][fresh], np.cumsum(fresh) - 1
         three = code_of((n + narrow * probability(two[pair])) / (uv + narrow))
         levels = trie_levels(own, first[kept], second[kept], u[there], two[kept], three[there])
         yield -1, shard, levels
@@ -447,7 +455,7 @@ def scored(
         context, at = trie.pairs(first, second)
         found = trie.trigrams(context[pair], at[pair], u)
         codes = code_of(narrow / (uv + narrow)) + two[pair]
-        codes[found >= 0] = trie.codes[found[found >= 0]]
+        codes[found >= 0] = trie.codes(found[found >= 0])
         codes = codes[which]
         for i, (chunk, _) in enumerate(held):
             yield chunk, shard, [pack(codes[edge[i] : edge[i + 1]])]
@@ -455,7 +463,8 @@ def scored(
     trie = tables.write("trie", _asked(counted, ask_trigrams, answer_trigrams))
 
     def sum_up(read: _Read, held: list) -> Iterator[pa.RecordBatch]:
-        _, which, (v, w, _), ids = trigram_keys(read)
+        trigrams, which = np.unique(read.trigram_keys()[0], return_inverse=True)
+        (v, w, _), ids = words_in(trigrams), np.cumsum(read.extra(0))
         keys = _mixed(ids[v.astype(np.int64)], ids[w.astype(np.int64)])
         steps = np.zeros(len(read.code), np.int64)
         steps[read.scored] = _answered(keys, shards, held, 0)[which]
