@@ -104,9 +104,17 @@ _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
 
 def formatted(
-    conversations: DataFrame, *, tokenizer: str | None = None, segment_turns: int = 1024, segment_chars: int = 1 << 20
+    conversations: DataFrame,
+    *,
+    tokenizer: str | None = None,
+    segment_turns: int = 1024,
+    segment_chars: int = 1 << 20,
+    batch_chars: int = 1 << 21,
 ) -> DataFrame:
-    """Stretches of formatted conversations; number arrays are little-endian (ids 32 bits, others 64)."""
+    """Stretches of formatted conversations; number arrays are little-endian (ids 32 bits, others 64).
+
+    Stretches are encoded together until they hold ``batch_chars`` characters (about 80 bytes of memory each).
+    """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     rows = conversations.select(
         F.col("conv_id").cast("bigint").alias("conv_id"),
@@ -122,12 +130,19 @@ def formatted(
         encode = _encoder(path)
         little = lambda x, kind="<i8": np.asarray(x).astype(kind).tobytes()
         done: list[tuple] = []
+        waiting = 0
 
-        def close(key: tuple, part: int, turns: list) -> None:
+        def close(key: tuple, part: int, turns: list) -> bool:
+            """Whether enough waits to be encoded."""
+            nonlocal waiting
             text, spans = render(turns)
             done.append((*key, part, text, spans))
+            waiting += len(text)
+            return waiting >= batch_chars or len(done) >= 256
 
         def flush() -> pa.RecordBatch:
+            nonlocal waiting
+            waiting = 0
             columns: list[list] = [[] for _ in _NAMES]
             for (conv, segment, part, text, spans), found in zip(done, encode.encode_batch([d[3] for d in done], add_special_tokens=False)):
                 starts, ends = token_spans(found.offsets)
@@ -143,10 +158,8 @@ def formatted(
         for batch in batches:
             for conv, segment, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "role", "text"))):
                 if (conv, segment) != key or size + len(text) > segment_chars:
-                    if turns:
-                        close(key, part, turns)
-                        if len(done) >= 256 or size >= segment_chars // 2:
-                            yield flush()
+                    if turns and close(key, part, turns):
+                        yield flush()
                     part = part + 1 if (conv, segment) == key else 0
                     key, turns, size = (conv, segment), [], 0
                 turns.append((role, text))

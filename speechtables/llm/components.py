@@ -9,9 +9,13 @@ from speechtables.session import cut_lineage
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """Each edge (u, v) with the least node next to u, u itself included."""
+    """Each edge (u, v) with the least node next to u, u itself included.
+
+    The least nodes are summed on the map side and written, so that the join has plain shuffles on both sides and
+    adaptive execution may split a hub's edges over many tasks.
+    """
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    return edges.join(cut_lineage(least), "u")
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -19,7 +23,7 @@ def _star(edges: DataFrame) -> DataFrame:
     to the least node it can see. Keeps components, and ends with every node linked to its least."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    down = _with_least(large)
+    down = _with_least(cut_lineage(large))
     return (
         down.select(F.col("v").alias("u"), F.col("m").alias("v"))
         .union(down.select("u", F.col("m").alias("v")))

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from speechtables.llm.common import id_bucket, slices
 
+SURE = 400  # symbols after which the score grows no more
 ORDER = 4
 BITS = 6
 _RANGES = 8
@@ -204,14 +205,15 @@ class _Scorer:
 
 
 def _margins(sums: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The best language of each text and how much it gains per symbol, long texts counting more."""
+    """The best language of each text and how much it gains per symbol, long texts counting more: up to ``SURE``
+    symbols count, beyond them a text is no surer. The entropy itself is that of the whole text."""
     mean = sums / np.maximum(size, 1)[:, None]
     best = mean.argmax(axis=1)
     top = mean[np.arange(len(mean)), best]
     rest = mean.copy()
     rest[np.arange(len(mean)), best] = -np.inf
     second = rest.max(axis=1) if mean.shape[1] > 1 else top - 1
-    return best, (top - second) * np.sqrt(np.minimum(size, 400))
+    return best, (top - second) * np.sqrt(np.minimum(size, SURE))
 
 
 def fit_identifier(rows: DataFrame, calibration_rows: int = 2000) -> Identifier:

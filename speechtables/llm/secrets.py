@@ -2,7 +2,8 @@
 
 Each historical version of a path is addressed by the SHA-256 of its text. The ledger is two tables in one
 folder: ``scanned`` (blob, rule, version) and ``findings`` (blob, rule, version, start, end). A scan reads the
-ledger, takes the blobs and rule versions it has not seen, scans one row of each such blob, appends findings
+ledger, takes the blobs and rule versions it has not seen, scans each such blob once (of the rows of its least path, one),
+appends findings
 before it appends what was scanned (findings of a run that broke off are never read), and joins the
 ledger's findings back to all paths. Everything is DataFrame work; texts move once, and only unseen ones
 where Spark's size statistics allow the list of unseen blobs to be broadcast.
@@ -35,7 +36,6 @@ class Rule:
     pattern: str
     group: int
     least: int
-    redact: str
 
 
 # Fixed values. "hex" and "access" ask for their least length at once, which finds the same matches: a shorter
@@ -47,10 +47,9 @@ RULES = (
         r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
         2,
         8,
-        r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{8,})""",
     ),
-    Rule("access", 1, "AKIA[A-Z0-9]{12,}", 0, 16, "AKIA[A-Z0-9]{12,}"),
-    Rule("hex", 1, "[0-9a-f]{32,}", 0, 32, "[0-9a-f]{32,}"),
+    Rule("access", 1, "AKIA[A-Z0-9]{12,}", 0, 16),
+    Rule("hex", 1, "[0-9a-f]{32,}", 0, 32),
 )
 
 _SCANNED = "run string, blob string, rule string, version int"
@@ -74,13 +73,15 @@ def _tag(rule: Rule) -> str:
 
 
 def _unseen(paths: DataFrame, ledger: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, rep, todo): blobs with rules the ledger lacks, and one path that has them."""
+    """(blob, rep, rows, todo): blobs with rules the ledger lacks, one path that has them, and how many rows of that
+    path do."""
     scanned = _ledger(paths.sparkSession, ledger, "scanned", _SCANNED)
     seen = scanned.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("seen"))
-    blobs = paths.groupBy("blob").agg(F.min("path").alias("rep"))
+    versions = paths.groupBy("blob", "path").agg(F.count(F.lit(1)).alias("rows"))
+    blobs = versions.groupBy("blob").agg(F.min(F.struct("path", "rows")).alias("one"))
     wanted = F.array(*[F.lit(_tag(r)) for r in rules])
     todo = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
-    return blobs.join(seen, "blob", "left").select("blob", "rep", todo.alias("todo")).filter(F.size("todo") > 0)
+    return blobs.join(seen, "blob", "left").select("blob", F.col("one.path").alias("rep"), F.col("one.rows").alias("rows"), todo.alias("todo")).filter(F.size("todo") > 0)
 
 
 def find_spans(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -121,7 +122,9 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
     todo = stored(_unseen(addressed.select("path", "blob"), ledger, rules), "ledger-unseen")
     run = uuid.uuid4().hex
     match = (addressed["blob"] == todo["blob"]) & addressed["path"].eqNullSafe(todo["rep"])
-    texts = addressed.join(todo, match).select(todo["blob"], "text", "todo")
+    asked = addressed.join(todo, match).select(todo["blob"], "text", "todo", "rows")
+    once, repeated = asked.filter("rows = 1").drop("rows"), asked.filter("rows > 1").drop("rows")
+    texts = once.union(repeated.dropDuplicates(["blob"]))
     found = find_spans(texts, rules).distinct().withColumn("run", F.lit(run))
     found.select("run", "blob", "rule", "version", "start", "end").write.mode("append").parquet(f"{ledger}/findings")
     marks = todo.select("blob", F.explode("todo").alias("tag")).select(
@@ -150,8 +153,17 @@ def with_findings(versions: DataFrame, findings: DataFrame, blob: str = "blob",
     return addressed.join(findings.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), blob, "left")
 
 
-def redacted(text: Column, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> Column:
-    """A text with what the rules find replaced by ``mark``."""
-    for rule in rules:
-        text = F.regexp_replace(text, rule.redact, mark)
-    return text
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """A text with each run of overlapping ``spans`` (sorted by start) replaced by ``mark``; null spans change nothing."""
+    piece = lambda at, size: F.substring(text, (at + 1).cast("int"), size.cast("int"))
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("kept"))
+
+    def step(state: Column, span: Column) -> Column:
+        apart = (span["start"] >= state["at"]) & (span["end"] > span["start"])
+        grown = F.concat(state["kept"], piece(state["at"], span["start"] - state["at"]), F.lit(mark))
+        return F.struct(
+            F.greatest(state["at"], span["end"]).alias("at"), F.when(apart, grown).otherwise(state["kept"]).alias("kept")
+        )
+
+    rest = lambda state: F.concat(state["kept"], piece(state["at"], F.char_length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, first, step, rest)).otherwise(text)

@@ -58,3 +58,24 @@ def test_stretches_encode_like_the_whole(spark):
     parts = sorted(chat.formatted(frame, segment_turns=7).collect(), key=lambda r: r["segment"])
     assert len(whole) == 1 and len(parts) == 6
     assert bytes(whole[0]["ids"]) == b"".join(bytes(p["ids"]) for p in parts)
+
+
+def test_batches_go_by_characters(spark, monkeypatch):
+    """Many long conversations in one task: what is encoded at once stays near ``batch_chars``."""
+    rows = [(c, t, "assistant", f"{c} {t} " + "long text " * 400, "z") for c in range(30) for t in range(3)]
+    frame = spark.createDataFrame(rows, ROWS).coalesce(1)
+    sizes = spark.sparkContext.accumulator(0)
+    plain_encoder = chat._encoder
+
+    class Watched:
+        def __init__(self, path):
+            self._encoder = plain_encoder(path)
+
+        def encode_batch(self, texts, **options):
+            sizes.add(sum(map(len, texts)) > 30_000 + 13_000)
+            return self._encoder.encode_batch(texts, **options)
+
+    monkeypatch.setattr(chat, "_encoder", Watched)
+    whole = sorted(map(tuple, chat.digests(chat.formatted(frame)).collect()))
+    assert whole == sorted(map(tuple, chat.digests(chat.formatted(frame, batch_chars=30_000)).collect()))
+    assert len(whole) == 30

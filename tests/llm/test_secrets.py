@@ -1,6 +1,8 @@
 import re
 import uuid
 
+from pyspark.sql import functions as F
+
 from speechtables.llm import secrets
 from speechtables.session import run_folder
 from tests.llm.helpers import documents, odd_texts
@@ -54,7 +56,7 @@ def test_only_unseen_blobs_and_rule_versions_are_scanned(spark):
     assert listed(secrets.with_findings(documents(spark, new), found).collect()) == {i: plain(t) for i, t in enumerate(new)}
     secrets.scan(documents(spark, new), ledger)
     assert spark.read.parquet(f"{ledger}/scanned").count() == second
-    rules = (*secrets.RULES[:2], secrets.Rule("hex", 2, "[0-9a-f]{64,}", 0, 64, "[0-9a-f]{64,}"))
+    rules = (*secrets.RULES[:2], secrets.Rule("hex", 2, "[0-9a-f]{64,}", 0, 64))
     again = secrets.scan(documents(spark, new), ledger, rules)
     assert spark.read.parquet(f"{ledger}/scanned").count() == second + second // 3
     kept = {i: [s for s in plain(t) if s[0] != "hex" or s[2] - s[1] >= 64] for i, t in enumerate(new)}
@@ -81,5 +83,23 @@ def test_empty_table_nulls_and_redaction(spark):
     frame = documents(spark, ["token=aaaaaaaa", "token=aaaaaaaa", None], ids=[None, 2, None])
     rows = secrets.with_findings(frame, secrets.scan(frame, run_folder(spark, "ledger-null"))).collect()
     assert sorted(len(r["spans"] or []) for r in rows) == [0, 1, 1]
-    cleaned = frame.select(secrets.redacted(frame["text"]).alias("t")).collect()
+    marked = secrets.with_findings(frame, secrets.scan(frame, run_folder(spark, "ledger-marked")))
+    cleaned = marked.select(secrets.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
     assert [r["t"] for r in cleaned] == ["[SECRET]", "[SECRET]", None]
+
+
+def test_a_blob_is_scanned_once(spark, monkeypatch):
+    scanned = []
+    plain_find = secrets.find_spans
+
+    def counted(texts, rules):
+        scanned.extend(r["blob"] for r in texts.select("blob").collect())
+        return plain_find(texts, rules)
+
+    monkeypatch.setattr(secrets, "find_spans", counted)
+    text = "token=abcdefgh1"
+    frame = documents(spark, [text] * 400 + ["other"] * 3 + ["single"], ids=[7] * 200 + [None] * 200 + [1, 1, 2, 3])
+    found = secrets.scan(frame.repartition(5), run_folder(spark, "ledger-once"))
+    assert len(scanned) == len(set(scanned)) == 3
+    rows = secrets.with_findings(frame, found).collect()
+    assert sum(len(r["spans"] or []) for r in rows) == 400
