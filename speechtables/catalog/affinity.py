@@ -193,6 +193,25 @@ def components(spark, sf):
     return op.components(edges(spark, sf))
 
 
+@job(
+    "minimum_connection_c9",
+    t.sql(
+        "emb",
+        f"""with recursive {_SIMS},
+        ranked as materialized (select recording_id, i, j, row_number() over (partition by recording_id, i order by sim desc, j) as rank from sims),
+        und as materialized (select recording_id, i, j, rank from ranked union all select recording_id, j, i, rank from ranked),
+        sizes as (select recording_id, count(*) as n from emb group by recording_id),
+        reach as (select recording_id, unnest(range(1, n + 1)) as p, 0::bigint as node from sizes
+            union select r.recording_id, r.p, u.j from reach r join und u on u.recording_id = r.recording_id and u.i = r.node and u.rank <= r.p),
+        reached as (select recording_id, p, count(*) as c from reach group by recording_id, p)
+        select recording_id, min(p)::integer as connects from reached join sizes using (recording_id) where c = n group by recording_id""",
+    ),
+)
+def connection(spark, sf):
+    rows = cut_lineage(_rows(spark, sf))
+    return op.minimum_connection(rows, rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("most")))
+
+
 @job("neighbour_search_c9_c10_c11")
 def search(spark, sf):
     return op.neighbour_search(_rows(spark, sf))
@@ -205,8 +224,8 @@ def short_counts(spark, sf):
 
 @job("speaker_clusters_c12")
 def clusters(spark, sf):
-    rows = _rows(spark, sf)
-    counts = op.choose_counts(op.neighbour_search(rows), short=op.count_speakers_short(t.embeddings(spark, sf)))
+    rows = cut_lineage(_told(spark, sf))
+    counts = op.choose_counts(op.neighbour_search(rows), short=op.count_speakers_short(t.speakers(spark, sf)))
     return op.cluster_speakers(rows, counts)
 
 

@@ -20,10 +20,9 @@ from speechtables.session import cut_lineage
 
 KEYS = ("recording_id",)
 
-# Shortest sub-window (milliseconds), rows a p-search looks at, its number of steps,
-# share of neighbours searched, sizes below which counting works differently, guard against zero.
+# Shortest sub-window (milliseconds), number of steps of a p-search, share of neighbours
+# searched, sizes below which counting works differently, guard against zero.
 MIN_WINDOW_MS = 50
-SEARCH_ROWS = 512
 SEARCH_STEPS = 30
 SEARCH_SHARE = 0.25
 FEW_ROWS = 6
@@ -287,14 +286,81 @@ def connected(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return components(edges, keys).groupBy(*keys).agg((F.min("root") == F.max("root")).alias("connected"))
 
 
+def connection_rank(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The least number of neighbours (``connects``) that makes each recording's graph hang together; null if all of
+    ``edges`` (``i, j, rank``) do not.
+
+    That number is the heaviest edge of a minimum spanning tree with ranks as weights. Each round every node takes
+    its lightest edge (ties by its ends), which is in such a tree; a node whose edge leads to a smaller node that
+    stays is merged into that one, and of the edges between two nodes the lightest is kept. The lightest edge
+    of every component is merged, so the rounds end.
+    """
+    keys = list(keys)
+    ends = edges.select(*keys, F.col("i").alias("node")).unionByName(edges.select(*keys, F.col("j").alias("node")))
+    nodes = ends.distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+    def lightest(pairs: DataFrame) -> DataFrame:
+        one_way = pairs.filter("u <> v").select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "rank")
+        return cut_lineage(one_way.groupBy(*keys, "u", "v").agg(F.min("rank").alias("rank")))
+
+    links = lightest(edges.select(*keys, F.col("i").alias("u"), F.col("j").alias("v"), "rank"))
+    merges = None
+    while not links.isEmpty():
+        by_end = links.select(*keys, F.struct("rank", "u", "v").alias("e"), F.explode(F.array("u", "v")).alias("end"))
+        taken = by_end.groupBy(*keys, "end").agg(F.min("e").alias("e"))
+        into = taken.select(*keys, "end", F.least("e.u", "end").alias("into"), F.col("e.rank").alias("rank"))
+        above = into.select(*keys, F.col("end").alias("into"), F.col("into").alias("above"))
+        merged = (F.col("into") < F.col("end")) & (F.col("above") == F.col("into"))
+        name = F.when(merged, F.col("into")).otherwise(F.col("end"))
+        names = cut_lineage(into.join(above, [*keys, "into"]).select(*keys, "end", name.alias("name"), "rank"))
+        done = names.filter(F.col("name") < F.col("end")).groupBy(*keys).agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("merged"))
+        merges = done if merges is None else merges.unionByName(done)
+        moved = links
+        for end in ("u", "v"):
+            moved = moved.join(names.select(*keys, F.col("end").alias(end), F.col("name").alias(f"__{end}")), [*keys, end])
+        links = lightest(moved.select(*keys, F.col("__u").alias("u"), F.col("__v").alias("v"), "rank"))
+    if merges is None:
+        return nodes.select(*keys, F.when(F.col("n") == 1, 1).cast("int").alias("connects"))
+    trees = merges.groupBy(*keys).agg(F.max("rank").alias("rank"), F.sum("merged").alias("merged"))
+    left = F.col("n") - F.coalesce("merged", F.lit(0))
+    whole = F.when(left == 1, F.coalesce("rank", F.lit(1)).cast("int"))
+    return cut_lineage(nodes.join(trees, keys, "left").select(*keys, whole.alias("connects")))
+
+
+def minimum_connection(
+    rows: DataFrame,
+    most: DataFrame,
+    keys: Sequence[str] = KEYS,
+    weights: Sequence[float] = (1.0,),
+    ranges: DataFrame | None = None,
+    first: int = 8,
+) -> DataFrame:
+    """``connection_rank`` of the neighbour graph of ``rows``, up to ``most`` neighbours per recording; null: none.
+
+    Graphs hang together with few neighbours as a rule, so ``first`` are looked at, then four times as many in the
+    recordings that need more.
+    """
+    keys = list(keys)
+    open_, p, found = cut_lineage(most), first, None
+    while True:
+        here = spread_lookup(rows, open_.select(*keys), keys, F.col("i"))
+        ranked = connection_rank(neighbour_edges(here, p, keys, weights, ranges, method="drop"), keys)
+        told = cut_lineage(open_.join(ranked, keys, "left"))
+        done = told.filter(F.col("connects").isNotNull() | (F.col("most") <= p))
+        found = done if found is None else found.unionByName(done)
+        open_ = told.filter(F.col("connects").isNull() & (F.col("most") > p)).drop("connects")
+        if open_.isEmpty():
+            break
+        p *= 4
+    return found.select(*keys, F.when(F.col("connects") <= F.col("most"), F.col("connects")).alias("connects"))
+
+
 # ---- counting and clustering ---------------------------------------------------------------
 
 
-def search_list(n: int, share: float, volume: int, fixed: bool = False) -> np.ndarray:
+def search_list(n: int, share: float, volume: int) -> np.ndarray:
     """Numbers of neighbours to try for ``n`` rows."""
     most = max(int(n * share), 2)
-    if fixed:
-        return np.array([most])
     return np.linspace(1, most, min(most, max(min(most, volume), 2))).astype(int)
 
 
@@ -325,18 +391,17 @@ def is_connected(graph: np.ndarray) -> bool:
     return bool(seen.all())
 
 
-def eigen_gap(affinity: np.ndarray, p: int, most: int) -> tuple[float, int, bool]:
-    """For ``p`` neighbours: ratio of ``p`` to the widest eigengap, speakers it suggests, connectivity."""
+def eigen_gap(affinity: np.ndarray, p: int, most: int) -> tuple[float, int]:
+    """For ``p`` neighbours: ratio of ``p`` to the widest eigengap, and the speakers it suggests."""
     if len(affinity) == 1:
-        return 1 / EPS, 1, True
-    graph = neighbour_graph(affinity, p)
-    values = spectrum(graph)
+        return 1 / EPS, 1
+    values = spectrum(neighbour_graph(affinity, p))
     gaps = np.diff(values)[:most]
     wide = int(np.argmax(gaps))
-    return (p / len(affinity)) / (gaps[wide] / (values.max() + EPS) + EPS), wide + 1, is_connected(graph)
+    return (p / len(affinity)) / (gaps[wide] / (values.max() + EPS) + EPS), wide + 1
 
 
-def search_pick(table: pd.DataFrame, most: int, majority: bool = False) -> tuple[int, int]:
+def search_pick(table: pd.DataFrame, most: int) -> tuple[int, int]:
     """Neighbours and speakers from a table of (p, ratio, speakers, connected) in order of p.
 
     The lowest ratio wins. If its graph is not connected, p grows through the list until one step after
@@ -349,8 +414,7 @@ def search_pick(table: pd.DataFrame, most: int, majority: bool = False) -> tuple
             if before or table["p"].iloc[at] > most:
                 break
             before = bool(table["connected"].iloc[at])
-    speakers = int(table["speakers"].mode().iloc[0]) if majority else int(table["speakers"].iloc[at])
-    return int(table["p"].iloc[at]), speakers
+    return int(table["p"].iloc[at]), int(table["speakers"].iloc[at])
 
 
 def neighbour_search(
@@ -361,15 +425,14 @@ def neighbour_search(
     share: float = SEARCH_SHARE,
     volume: int = SEARCH_STEPS,
     speakers: int = MAX_SPEAKERS,
-    majority: bool = False,
-    search_rows: int | None = SEARCH_ROWS,
+    search_rows: int | None = None,
     known: int | None = None,
 ) -> DataFrame:
     """Neighbours to keep and number of speakers, per recording.
 
-    ``search_rows`` is the option to look at every k-th row only, so that fewer than ``2 * search_rows``
-    remain; None looks at all rows. Each (recording, p) is then an independent eigenproblem. A ``known``
-    number of speakers is kept, and gaps are looked at up to that number.
+    All rows are looked at; ``search_rows`` is the option to look at every k-th row only, so that fewer than
+    ``2 * search_rows`` remain. Each (recording, p) is then an independent eigenproblem. A ``known`` number of
+    speakers is kept, and gaps are looked at up to that number.
     """
     keys = list(keys)
     speakers = max(speakers, known or 0)
@@ -384,11 +447,10 @@ def neighbour_search(
 
     def solve(key, part: pd.DataFrame) -> pd.DataFrame:
         affinity = fused_affinity(part.sort_values("i"), weights)
-        gap, found, whole = eigen_gap(affinity, int(key[-1]), speakers)
-        return pd.DataFrame(
-            [[*key[:-1], int(key[-1]), gap, found, whole, is_connected(neighbour_graph(affinity, 1)), len(part), int(part["k"].iloc[0])]],
-            columns=[*keys, "p", "ratio", "speakers", "connected", "connected_at_one", "rows", "k"],
-        )
+        p = int(key[-1])
+        whole = (is_connected(neighbour_graph(affinity, q)) for q in (p, 1))
+        row = [*key[:-1], p, *eigen_gap(affinity, p, speakers), *whole, len(part), int(part["k"].iloc[0])]
+        return pd.DataFrame([row], columns=[*keys, "p", "ratio", "speakers", "connected", "connected_at_one", "rows", "k"])
 
     table = each.groupBy(*keys, "p").applyInPandas(
         solve, f"{key_fields}, p int, ratio double, speakers int, connected boolean, connected_at_one boolean, rows int, k int"
@@ -396,7 +458,7 @@ def neighbour_search(
 
     def choose(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("p", ignore_index=True)
-        p, found = search_pick(part, max(int(part["rows"].iloc[0] * share), 2), majority)
+        p, found = search_pick(part, max(int(part["rows"].iloc[0] * share), 2))
         k = int(part["k"].iloc[0])
         return pd.DataFrame([[*key, p, p * k, found, k]], columns=[*keys, "p", "p_full", "speakers", "k"])
 
@@ -478,7 +540,8 @@ def count_speakers_short(
         affinity = (block - block.min()) / (block.max() - block.min())
         rows = []
         for p in search_list(len(affinity), COUNT_SHARE, COUNT_STEPS):
-            rows.append((int(p), *eigen_gap(affinity, int(p), len(vectors)), is_connected(neighbour_graph(affinity, 1))))
+            whole = (is_connected(neighbour_graph(affinity, q)) for q in (int(p), 1))
+            rows.append((int(p), *eigen_gap(affinity, int(p), len(vectors)), *whole))
         table = pd.DataFrame(rows, columns=["p", "ratio", "speakers", "connected", "connected_at_one"])
         _, speakers = search_pick(table, max(int(len(affinity) * COUNT_SHARE), 2))
         return pd.DataFrame([[*key, speakers]], columns=[*keys, "trial", "speakers"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from speechtables.operators import affinity as op
 from speechtables.plans.tiles import NORM_EPS
+from speechtables.session import cut_lineage
 
 
 def blobs(seed, sizes, dim=16, noise=0.15):
@@ -89,6 +90,23 @@ def test_clusters_match_the_speakers(spark):
             assert len(part) == len(truth[r]) and agree(part.label, truth[r])
 
 
+def test_connection_rank_is_the_least_connecting_number(spark):
+    draw = np.random.default_rng(7)
+    data = {0: blobs(1, [30, 25])[0], 1: draw.standard_normal((40, 16)), 2: blobs(3, [9, 8, 30], noise=0.02)[0], 3: draw.standard_normal((1, 16)), 4: draw.standard_normal((2, 16))}
+    wanted, few = {}, {}
+    edges = []
+    for r, vectors in data.items():
+        s = dense(vectors)
+        wanted[r] = next(p for p in range(1, len(s) + 1) if op.is_connected(op.neighbour_graph(s, p)))
+        few[r] = wanted[r] if wanted[r] <= 3 else None
+        best = np.argsort(-s, axis=1, kind="stable")
+        edges += [(r, i, int(j), k + 1) for i, row in enumerate(best) for k, j in enumerate(row)]
+    assert wanted[2] > 8 and wanted[3] == 1
+    table = cut_lineage(spark.createDataFrame(edges, "recording_id bigint, i bigint, j bigint, rank int").coalesce(2))
+    assert {x.recording_id: x.connects for x in op.connection_rank(table).collect()} == wanted
+    assert {x.recording_id: x.connects for x in op.connection_rank(table.filter("rank <= 3")).collect()} == few
+
+
 def test_smallest_vectors_span_those_of_the_dense_matrix():
     draw = np.random.default_rng(5)
     dense = draw.random((60, 60)) * (draw.random((60, 60)) < 0.2)
