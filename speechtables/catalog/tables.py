@@ -168,6 +168,23 @@ def ref_hyp(spark: SparkSession, sf: str) -> DataFrame:
     return split.select("utt_id", "ref", F.flatten(changed).alias("hyp"))
 
 
+def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole turns as references, words cut to two letters so that many repeat; hypotheses lose words, say others
+    of the same turn again and gain some."""
+    split = F.transform(F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != ""), lambda w: F.lower(F.substring(w, 1, 2)))
+    turns = read(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("utt_id"), split.alias("ref"))
+    changed = F.transform(
+        "ref",
+        lambda w, i: F.concat(
+            F.when((i + 1) % 7 == 0, F.array().cast("array<string>"))
+            .when((i + 1) % 5 == 0, F.array(F.get("ref", i - 2)))
+            .otherwise(F.array(w)),
+            F.when((i + 1) % 9 == 0, F.array(F.coalesce(F.get("ref", i + 1), F.lit("y")))).otherwise(F.array().cast("array<string>")),
+        ),
+    )
+    return turns.select("utt_id", "ref", F.flatten(changed).alias("hyp"))
+
+
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
     """Job requests with gaps to be filled by defaults."""
     return read(spark, sf, "customer").select(
@@ -232,6 +249,11 @@ _SQL = {
             case when i % 17 = 0 then []::varchar[] when i % 11 = 0 then ['x'] else [w] end,
             case when i % 23 = 0 then ['y'] else []::varchar[] end))) as hyp
         from (select doc_id as utt_id, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '') as ref from documents)""",
+    "turn_pairs": r"""select utt_id, ref, flatten(list_transform(ref, lambda w, i: list_concat(
+            case when i % 7 = 0 then []::varchar[] when i % 5 = 0 then [ref[i - 2]] else [w] end,
+            case when i % 9 = 0 then [coalesce(ref[i + 1], 'y')] else []::varchar[] end))) as hyp
+        from (select conv_id || '-' || turn as utt_id, list_transform(list_filter(string_split_regex(trim(coalesce(text, '')), '\s+'), lambda x: x <> ''),
+            lambda x: lower(substr(x, 1, 2))) as ref from conversations)""",
     "jobs": """select c_custkey as job, c_mktsegment || '-' || c_custkey as job_name,
         case when c_custkey % 7 <> 0 then 'tok' || c_nationkey end as task_token,
         case when c_custkey % 3 <> 0 then cast(c_custkey % 5 as integer) end as num_speakers,

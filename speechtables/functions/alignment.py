@@ -17,7 +17,7 @@ def edit_path(ref: list[str], hyp: list[str]) -> np.ndarray:
     Bit-parallel dynamic programming: one column of the table is two integers with a bit per
     reference word (the table grows / shrinks by one at that row). Only every k-th column is kept;
     the ones between are computed again on the way back, so memory grows with the square root of
-    the table. Among equally cheap steps back: match, deletion, insertion, substitution.
+    the table. Among equally cheap steps back: match or substitution, deletion, insertion.
     """
     n, m = len(ref), len(hyp)
     full = (1 << n) - 1
@@ -25,17 +25,17 @@ def edit_path(ref: list[str], hyp: list[str]) -> np.ndarray:
     for at, word in enumerate(ref):
         places[word] = places.get(word, 0) | 1 << at
 
-    def column(up: int, down: int, word: str) -> tuple[int, int]:
+    def column(up: int, down: int, word: str) -> tuple[int, int, int]:
         same = places.get(word, 0) | down
         zero = (((same & up) + up) ^ up) | same
         right = ((down | ~(zero | up)) << 1) | 1
-        return ((up & zero) << 1 | ~(zero | right)) & full, right & zero & full
+        return ((up & zero) << 1 | ~(zero | right)) & full, right & zero & full, zero
 
     stride = isqrt(m) + 1
     kept = [(full, 0)]
     up, down = full, 0
     for at, word in enumerate(hyp, 1):
-        up, down = column(up, down, word)
+        up, down, _ = column(up, down, word)
         if at % stride == 0:
             kept.append((up, down))
 
@@ -45,21 +45,19 @@ def edit_path(ref: list[str], hyp: list[str]) -> np.ndarray:
     while i and j:
         if j - 1 < low:
             low = (j - 1) // stride * stride
-            columns = [kept[low // stride]]
+            columns = [(*kept[low // stride], 0)]
             for word in hyp[low : min(low + stride, m)]:
-                columns.append(column(*columns[-1], word))
-        if ref[i - 1] == hyp[j - 1]:
+                columns.append(column(*columns[-1][:2], word))
+        up, _, same = columns[j - low]
+        if ref[i - 1] == hyp[j - 1] or not same >> (i - 1) & 1:
             steps.append(i << 32 | j)
             i, j = i - 1, j - 1
-        elif columns[j - low][0] >> (i - 1) & 1:
+        elif up >> (i - 1) & 1:
             steps.append(i << 32)
             i -= 1
-        elif columns[j - 1 - low][1] >> (i - 1) & 1:
+        else:
             steps.append(j)
             j -= 1
-        else:
-            steps.append(i << 32 | j)
-            i, j = i - 1, j - 1
     steps.extend(k << 32 for k in range(i, 0, -1))
     steps.extend(range(j, 0, -1))
     return np.array(steps[::-1], dtype=np.int64)

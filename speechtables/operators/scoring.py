@@ -15,13 +15,14 @@ CORRECT, SUBSTITUTED, DELETED, INSERTED = "corr", "sub", "del", "ins"
 
 
 def align_words(pairs: DataFrame, key: str = "utt_id") -> DataFrame:
-    """One row per step of the cheapest alignment: ``pos, ref, hyp, kind``; ``*`` marks a gap.
+    """One row per step of the cheapest alignment: ``pos, ref, hyp, kind``; ``*`` marks a gap, a null side counts as empty.
 
     Alignment costs far more than moving the texts, so utterances are first spread evenly (an explicit
     number of partitions keeps adaptive execution from merging them again).
     """
     spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.repartition(spread, key)
+    nothing = F.array().cast("array<string>")
+    pairs = pairs.repartition(spread, key).select(key, *[F.coalesce(side, nothing).alias(side) for side in ("ref", "hyp")])
     steps = pairs.select(key, "ref", "hyp", F.posexplode(edit_steps("ref", "hyp")).alias("pos", "__step"))
     ref_at = F.shiftright("__step", 32).cast("int")
     hyp_at = F.col("__step").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")

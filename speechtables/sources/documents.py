@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from speechtables.operators import scoring
 from speechtables.operators.jobs import ERROR_SOURCES, with_defaults
 from speechtables.schemas import JOBS, RESPONSE
+from speechtables.session import cut_lineage
 
 # Events stay available this many days; the value a missing name takes in an object key.
 RETENTION_DAYS = 5
@@ -102,8 +103,8 @@ def transcript_lines(pairs: DataFrame, key: str = "utt_id") -> DataFrame:
 
 
 def error_report(pairs: DataFrame, key: str = "utt_id") -> dict[str, DataFrame]:
-    """The sections of a word-error report."""
-    steps = scoring.align_words(pairs, key)
+    """The sections of a word-error report; the words are aligned once, all sections read that table."""
+    steps = cut_lineage(scoring.align_words(pairs, key))
     return {
         "summary": scoring.error_summary(steps),
         "utterances": scoring.utterance_details(steps, key),
@@ -114,6 +115,28 @@ def error_report(pairs: DataFrame, key: str = "utt_id") -> dict[str, DataFrame]:
     }
 
 
+def report_lines(sections: dict[str, DataFrame], key: str = "utt_id") -> DataFrame:
+    """The sections as lines of text (``section, place, line``); a section reads by falling ``place``, then line."""
+    spaced = lambda *parts: F.concat_ws("   ", *parts)
+    summary = F.format_string(
+        "%d errors: %d insertions, %d deletions, %d substitutions, over %d reference words (%d correct)", "errors", "ins", "del", "sub", "ref_len", "corr"
+    )
+    counts = F.concat_ws(" ", "corr", "errors", "in_ref", "in_hyp")
+    layout = {
+        "summary": ("SUMMARY", F.lit(0), summary),
+        "utterances": ("PER-UTT DETAILS", F.lit(0), F.concat(F.col(key).cast("string"), F.lit(":\t"), F.col("detail"))),
+        "substitutions": ("SUBSTITUTIONS", F.col("n"), spaced("n", F.concat_ws(" -> ", "ref", "hyp"))),
+        "deletions": ("DELETIONS", F.col("n"), spaced("n", "ref")),
+        "insertions": ("INSERTIONS", F.col("n"), spaced("n", "hyp")),
+        "words": ("PER-WORD STATS", F.col("errors"), spaced("word", counts)),
+    }
+    tables = [
+        sections[name].select(F.lit(title).alias("section"), place.cast("bigint").alias("place"), line.alias("line"))
+        for name, (title, place, line) in layout.items()
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
 def write_report(sections: dict[str, DataFrame], path: str, formats: Sequence[str] = ("parquet",)) -> None:
     """Every section as a table of its own."""
     for name, table in sections.items():
