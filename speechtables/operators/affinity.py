@@ -15,6 +15,7 @@ from speechtables.plans.asof import next_mark
 from speechtables.plans.ordered import row_block, scan
 from speechtables.plans.ranges import explode_count
 from speechtables.plans.skew import spread_lookup
+from speechtables.plans.spectral import UPPER, cluster_points, least_eigenpairs
 from speechtables.plans.tiles import TILE_ROWS, pack, pair_up, per_pair, similarity, unit
 from speechtables.session import cut_lineage
 
@@ -30,6 +31,10 @@ SHORT_ROWS = 80
 MAX_SPEAKERS = 8
 EPS = 1e-10
 
+#: Most windows of a dense matrix and most edges of a graph in one task; larger recordings are solved on tables.
+TASK_ROWS = 2048
+TASK_EDGES = 1 << 21
+
 
 # ---- windows and scoring -------------------------------------------------------------------
 
@@ -427,22 +432,24 @@ def neighbour_search(
     speakers: int = MAX_SPEAKERS,
     search_rows: int | None = None,
     known: int | None = None,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Neighbours to keep and number of speakers, per recording.
 
     All rows are looked at; ``search_rows`` is the option to look at every k-th row only, so that fewer than
-    ``2 * search_rows`` remain. Each (recording, p) is then an independent eigenproblem. A ``known`` number of
-    speakers is kept, and gaps are looked at up to that number.
+    ``2 * search_rows`` remain. Each (recording, p) is then an independent eigenproblem: a dense one in a task
+    up to ``task_rows`` rows, on tables beyond (``_table_search``). A ``known`` number of speakers is kept, and
+    gaps are looked at up to that number.
     """
     keys = list(keys)
     speakers = max(speakers, known or 0)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     ratio = F.greatest(F.lit(1), F.floor(F.col("n") / (search_rows or 1 << 62))).cast("bigint")
     sampled = spread_lookup(rows, sizes.withColumn("k", ratio), keys, F.col("i")).filter(F.col("i") % F.col("k") == 0)
-    counts = sizes.withColumn("k", ratio).withColumn("m", F.ceil(F.col("n") / F.col("k")))
-    steps = counts.select(*keys, F.explode(_search_steps(share, volume)("m")).alias("p"))
+    counts = cut_lineage(sizes.withColumn("k", ratio).withColumn("m", F.ceil(F.col("n") / F.col("k"))))
+    steps = counts.select(*keys, "m", F.explode(_search_steps(share, volume)("m")).alias("p"))
     slim = _with_ranges(sampled.select(*keys, "i", "vectors", "owners", "k"), ranges, keys)
-    each = spread_lookup(slim, steps, keys, F.col("i"), fanout=8)
+    each = spread_lookup(slim, steps.filter(F.col("m") <= task_rows).drop("m"), keys, F.col("i"), fanout=8)
     key_fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def solve(key, part: pd.DataFrame) -> pd.DataFrame:
@@ -456,6 +463,12 @@ def neighbour_search(
         solve, f"{key_fields}, p int, ratio double, speakers int, connected boolean, connected_at_one boolean, rows int, k int"
     )
 
+    large = counts.filter(F.col("m") > task_rows)
+    if not large.isEmpty():
+        here = spread_lookup(sampled.drop("n", "k"), large.select(*keys), keys, F.col("i"))
+        found = _table_search(here, steps.filter(F.col("m") > task_rows), speakers, keys, weights, ranges)
+        table = table.unionByName(found.join(large.select(*keys, F.col("k").cast("int").alias("k")), keys))
+
     def choose(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("p", ignore_index=True)
         p, found = search_pick(part, max(int(part["rows"].iloc[0] * share), 2))
@@ -466,6 +479,31 @@ def neighbour_search(
     return chosen.withColumn("speakers", F.lit(known)) if known else chosen
 
 
+def _table_search(
+    rows: DataFrame, steps: DataFrame, speakers: int, keys: Sequence[str], weights: Sequence[float], ranges: DataFrame | None
+) -> DataFrame:
+    """What ``eigen_gap`` and ``is_connected`` tell for every (recording, p), from edge tables: no task holds a graph."""
+    most = steps.agg(F.max("p")).first()[0]
+    ranked = cut_lineage(neighbour_edges(rows, int(most), keys, weights, ranges))
+    each = spread_lookup(ranked, steps.select(*keys, "p"), keys, F.col("i"), fanout=8).filter(F.col("rank") <= F.col("p"))
+    values, _ = least_eigenpairs(symmetrise(each, [*keys, "p"]), speakers + 1, [*keys, "p"], upper=UPPER)
+    gaps = F.zip_with(F.slice("values", 2, speakers), F.slice("values", 1, F.size("values") - 1), lambda after, before: after - before)
+    wide = F.array_max("__gaps")
+    ratio = (F.col("p") / F.col("m")) / (wide / (F.col("largest") + EPS) + EPS)
+    least = connection_rank(ranked, keys)
+    told = values.withColumn("__gaps", gaps).join(steps, [*keys, "p"]).join(least, keys)
+    whole = lambda p: F.coalesce(F.col("connects") <= p, F.lit(False))
+    return told.select(
+        *keys,
+        F.col("p").cast("int").alias("p"),
+        ratio.alias("ratio"),
+        F.array_position("__gaps", wide).cast("int").alias("speakers"),
+        whole(F.col("p")).alias("connected"),
+        whole(F.lit(1)).alias("connected_at_one"),
+        F.col("m").cast("int").alias("rows"),
+    )
+
+
 def _search_steps(share: float, volume: int):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def steps(counts: pd.Series) -> pd.Series:
@@ -636,13 +674,15 @@ def cluster_speakers(
     weights: Sequence[float] = (1.0,),
     ranges: DataFrame | None = None,
     few_rows: int = FEW_ROWS,
+    task_edges: int = TASK_EDGES,
 ) -> DataFrame:
-    """Speaker labels of the windows (``i, label``), one path for recordings of every size.
+    """Speaker labels of the windows (``i, label``).
 
     ``counts`` brings per recording ``p_full`` (neighbours to keep) and ``speakers`` (see
     ``neighbour_search``; a known or otherwise counted number may replace it). Up to ``few_rows`` windows
-    the whole affinity is the graph. The neighbour edges are found tile by tile; a recording's task then
-    holds its edges, not its affinity matrix.
+    the whole affinity is the graph. The neighbour edges are found tile by tile. A recording of at most
+    ``task_edges`` edges is one task; the eigenvectors and clusters of larger ones are found on tables
+    (``plans/spectral.py``), which gives the same clusters.
     """
     keys = list(keys)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -653,13 +693,22 @@ def cluster_speakers(
             few.alias("few"),
             F.when(few, F.col("n")).otherwise(F.greatest(F.lit(1), F.least("p_full", "n"))).cast("int").alias("p"),
             F.least("speakers", "n").cast("int").alias("speakers"),
-        )
+            "n",
+        ).withColumn("large", 2 * F.col("n") * F.col("p") > task_edges)
     )
     most = plan.agg(F.max("p")).first()[0] or 1
     found = neighbour_edges(rows, int(most), keys, weights, ranges, method="drop")
-    kept = spread_lookup(found, plan, keys, F.col("i")).filter(F.col("rank") <= F.col("p"))
+    kept = spread_lookup(found, plan.drop("n"), keys, F.col("i")).filter(F.col("rank") <= F.col("p"))
     graph = symmetrise(kept.withColumn("weight", F.when(F.col("few"), F.col("weight")).otherwise(F.lit(1.0))), keys)
-    ready = spread_lookup(graph, plan.select(*keys, "speakers"), keys, F.col("i"))
+    large = plan.filter("large")
+    widest = large.agg(F.max("speakers")).first()[0]
+    by_tables = None
+    if widest:
+        graph = cut_lineage(graph)
+        wide = spread_lookup(graph, large.select(*keys), keys, F.col("i"))
+        points = least_eigenpairs(wide, int(widest), keys)[1]
+        by_tables = cluster_points(points, large.select(*keys, F.col("speakers").alias("k")), int(widest), keys)
+    ready = spread_lookup(graph, plan.filter(~F.col("large")).select(*keys, "speakers"), keys, F.col("i"))
     key_fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def cluster(key, part: pd.DataFrame) -> pd.DataFrame:
@@ -675,7 +724,8 @@ def cluster_speakers(
             out.insert(place, name, key[place])
         return out
 
-    return ready.groupBy(*keys).applyInPandas(cluster, f"{key_fields}, i bigint, label int")
+    in_tasks = ready.groupBy(*keys).applyInPandas(cluster, f"{key_fields}, i bigint, label int")
+    return in_tasks if by_tables is None else in_tasks.unionByName(by_tables)
 
 
 def cluster_means(labelled: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
