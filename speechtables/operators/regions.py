@@ -17,6 +17,7 @@ from speechtables.plans.jumps import visited
 from speechtables.plans.ordered import BLOCK_ROWS, neighbours, row_block, run_ids, scan
 from speechtables.plans.ranges import explode_count
 from speechtables.plans.skew import spread_lookup
+from speechtables.plans.sliding import least_ahead
 from speechtables.session import cut_lineage
 
 KEYS = ("recording_id",)
@@ -71,53 +72,77 @@ def binarize_limited(
     frame: str = "frame",
     rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Like ``binarize``, but a region longer than ``max_frames`` is cut at its lowest score in the
-    second half of what was gathered so far. The cut moves the next start, hence a carried state:
-    whether speech is on, its start, and the scores seen since (at most about ``max_frames``)."""
+    """Like ``binarize``, but a region longer than ``max_frames`` is cut at its lowest score in the second half of what was
+    gathered since it opened (the frame that closed the region before counts as gathered) or since its last cut.
+
+    Frames are numbered without gaps. A piece ends at a cut, at a closing frame or with the recording, and which of these
+    follows from where it starts: the sliding minimum gives the cut, the next frame below ``offset`` the closing. A
+    closing frame that falls on the frame at which the limit is noticed does not close; the piece after that cut
+    begins with the knowledge to pass over it. So every frame gets up to four nodes (opens here, cut here, cut here with a
+    frame to pass over, closed here), each with one jump, and the pieces are the nodes that the chain visits.
+    """
+    if max_frames < 1:
+        raise ValueError("max_frames must be at least 1")
     offset = onset if offset is None else offset
-
-    def step(rows: pd.DataFrame, state: str, last: bool):
-        """Jumps from one opening, closing or cut to the next. Gathered rows are those from ``low`` on, and
-        ``lone``, the row that closed the region before."""
-        memory = json.loads(state) if state else {"on": bool(rows["prob"].iloc[0] > onset), "seen": [], "lone": False}
-        times = np.array([t for _, t in memory["seen"]] + rows[frame].tolist(), np.int64)
-        scores = np.array([y for y, _ in memory["seen"]] + rows["prob"].tolist(), np.float64)
-        high, below = np.flatnonzero(scores > onset), np.flatnonzero(scores < offset)
-        following = lambda marks, at: marks[k] if (k := np.searchsorted(marks, at)) < len(marks) else len(times)
-        on, at = memory["on"], len(memory["seen"]) if state else 1
-        lone = 0 if memory["lone"] or not state else None
-        low = 0 if lone is None else 1
-        start = memory["start"] if state else int(times[0])
-        found = []
-        while at < len(times):
-            if not on:
-                at = low = following(high, at) + 1
-                if at <= len(times):
-                    on, start = True, int(times[at - 1])
-                continue
-            closing = following(below, at)
-            cutting = max(at, int(np.searchsorted(times, start + max_frames, "right")))
-            if min(closing, cutting) == len(times):
-                break
-            if cutting <= closing:
-                gathered = np.arange(low, cutting) if lone is None else np.r_[lone, low:cutting]
-                later = gathered[len(gathered) // 2 :]
-                cut = int(later[scores[later].argmin()])
-                found.append((start, int(times[cut])))
-                start, low, lone, at = int(times[cut]), max(low, cut + 1), None, cutting + 1
-            else:
-                found.append((start, int(times[closing])))
-                on, start, lone, low, at = False, int(times[closing]), int(closing), int(closing) + 1, int(closing) + 1
-        kept = ([] if lone is None else [lone]) + (list(range(low, len(times))) if on else [])
-        if last and on:
-            found.append((start, int(times[-1])))
-        out = pd.DataFrame(found, columns=["start_frame", "end_frame"])
-        seen = [(float(scores[k]), int(times[k])) for k in kept]
-        return out, json.dumps({"on": on, "start": start, "seen": seen, "lone": lone is not None})
-
-    return fold(
-        frames.select(*keys, frame, "prob"), keys, [frame], row_block(frame, rows), step, "start_frame bigint, end_frame bigint"
+    keys, block = list(keys), row_block("frame", rows)
+    plain = frames.select(*keys, F.col(frame).cast("bigint").alias("frame"), "prob")
+    high, below = F.coalesce(F.col("prob") > onset, F.lit(False)), F.coalesce(F.col("prob") < offset, F.lit(False))
+    marks = scan(
+        plain.withColumn("__high", high).withColumn("__below", below),
+        keys,
+        ["frame"],
+        block,
+        latest={"__opened": F.when(F.col("__high"), F.col("frame"))},
+        upcoming={"__b": F.when(F.col("__below"), F.col("frame")), "__h": F.when(F.col("__high"), F.col("frame"))},
+        overall={"__last": ("max", F.col("frame"))},
     )
+    marks = neighbours(marks, keys, "frame", next={"__nb": F.col("__b"), "__nh": F.col("__h")}, rows=rows)
+    marks = cut_lineage(
+        scan(
+            marks,
+            keys,
+            ["frame"],
+            block,
+            upcoming={"__closing": F.when(F.col("__below"), F.struct(F.col("frame").alias("one"), F.col("__nb").alias("two")))},
+        )
+    )
+    here = marks.filter("__opened is not null").select(*keys, "frame", "__high", "__below", "__nh", "__last")
+    half = (max_frames + 1) // 2
+    first = least_ahead(marks, keys, "frame", "prob", half, max_frames - half + 1).withColumnRenamed("least", "__first")
+    later = max_frames // 2 + 1
+    other = least_ahead(marks, keys, "frame", "prob", later, max_frames - later + 1).withColumnRenamed("least", "__other")
+    ahead = marks.select(*keys, (F.col("frame") - 1).alias("frame"), "__closing")
+    noticed = marks.select(*keys, (F.col("frame") - max_frames - 1).alias("frame"), F.col("__below").alias("__passed"))
+    at = [*keys, "frame"]
+    known = here.join(ahead, at, "left").join(noticed, at, "left").join(first, at, "left").join(other, at, "left")
+
+    node = lambda kind, when: F.when(when, F.lit(kind))
+    kinds = F.array_compact(
+        F.array(node(0, F.col("__high")), node(1, F.lit(True)), node(2, F.lit(True)), node(3, F.col("__below")))
+    )
+    known = known.withColumn("__kind", F.explode(kinds))
+    closing = F.when(F.col("__kind") == 2, F.col("__closing.two")).otherwise(F.col("__closing.one"))
+    noticed_at = F.col("frame") + max_frames + 1
+    is_cut = (noticed_at <= F.col("__last")) & (closing.isNull() | (noticed_at <= closing))
+    cut = F.when(F.col("__kind") == 0, F.col("__first.at")).otherwise(F.col("__other.at"))
+    jump = (
+        F.when(F.col("__kind") == 3, F.col("__nh") * 4)
+        .when(is_cut, cut * 4 + F.when(F.col("__passed"), 2).otherwise(1))
+        .otherwise(closing * 4 + 3)
+    )
+    end = F.when(is_cut, cut).otherwise(F.coalesce(closing, F.col("__last")))
+    nodes = cut_lineage(
+        known.select(
+            *keys,
+            (F.col("frame") * 4 + F.col("__kind")).alias("__node"),
+            jump.alias("__jump"),
+            F.col("frame").alias("start_frame"),
+            F.when(F.col("__kind") < 3, end).alias("end_frame"),
+        )
+    )
+    chain = visited(nodes, keys, "__node", "__jump")
+    pieces = nodes.filter("end_frame is not null").join(chain, [*keys, "__node"], "left_semi")
+    return pieces.select(*keys, "start_frame", "end_frame")
 
 
 def cut_long_regions(
@@ -125,11 +150,14 @@ def cut_long_regions(
 ) -> DataFrame:
     """Regions longer than the limit are cut at the lowest score of the second half of the window.
 
-    Only frames of over-long regions are looked at. Carried: the current piece's start and the
-    scores of its second half so far.
+    Only frames of over-long regions are looked at; frames are numbered without gaps. For each of them a sliding minimum
+    tells where a piece that begins there would be cut; the pieces are the frames that the chain of cuts visits.
     """
     half = max_frames // cut_factor
     limit = half * cut_factor
+    if half < 1 or cut_factor < 2:
+        raise ValueError("max_frames must be at least cut_factor, and cut_factor at least 2")
+    keys = list(keys)
     span = F.col("end_frame") - F.col("start_frame")
     short = regions.filter(span <= limit).select(
         *keys,
@@ -139,50 +167,29 @@ def cut_long_regions(
         F.lit(True).alias("first"),
         F.lit(True).alias("final"),
     )
-    inside = points_in_intervals(
-        frames.select(*keys, "frame", "prob"),
-        "frame",
-        regions.filter(span > limit).select(*keys, "start_frame", "end_frame"),
-        "start_frame",
-        "end_frame",
-        keys,
-        rows,
+    inside = cut_lineage(
+        points_in_intervals(
+            frames.select(*keys, "frame", "prob"),
+            "frame",
+            regions.filter(span > limit).select(*keys, "start_frame", "end_frame"),
+            "start_frame",
+            "end_frame",
+            keys,
+            rows,
+        )
     )
-
-    def step(rows: pd.DataFrame, state: str, last: bool):
-        found = []
-        memory = json.loads(state) if state else None
-        for (region, end), part in rows.groupby(["start_frame", "end_frame"], sort=True):
-            region, end = int(region), int(end)
-            first_frame, probs = int(part["frame"].iloc[0]), part["prob"].to_numpy()
-            start = first_frame  # the region's first frame, or a guess where the block begins inside it
-            if memory and memory["region"] == region:
-                start = memory["start"]
-                probs = np.concatenate([np.array(memory["probs"], dtype=float), probs])
-                first_frame -= len(memory["probs"])
-            known = first_frame + len(probs)
-            while end - start > limit and start + limit <= known:
-                low, high = start + half, min(end, start + limit)
-                cut = low + int(np.argmin(probs[low - first_frame : high - first_frame]))
-                found.append((region, start, cut, start == region, False))
-                start = cut + 1
-            if end - start <= limit:
-                if known > end:  # the region's last frame is in this block
-                    found.append((region, start, end, start == region, True))
-                    memory = None
-                    continue
-            keep = max(0, min(start + half, known) - first_frame)
-            memory = {"region": region, "start": start, "probs": probs[keep:].tolist()}
-        out = pd.DataFrame(found, columns=["region_start", "start_frame", "end_frame", "first", "final"])
-        return out, json.dumps(memory) if memory else ""
-
-    pieces = fold(
-        cut_lineage(inside),
-        keys,
-        ["frame"],
-        row_block("frame", rows),
-        step,
-        "region_start bigint, start_frame bigint, end_frame bigint, first boolean, final boolean",
+    by = [*keys, "start_frame", "end_frame"]
+    cuts = least_ahead(inside, by, "frame", "prob", half, limit - half)
+    cut = F.when(F.col("end_frame") - F.col("frame") > limit, F.col("least.at"))
+    nodes = cut_lineage(inside.join(cuts, [*by, "frame"], "left").select(*by, "frame", cut.alias("__cut")))
+    chain = visited(nodes.withColumn("__next", F.col("__cut") + 1), by, "frame", "__next")
+    pieces = nodes.join(chain, [*by, "frame"], "left_semi").select(
+        *keys,
+        F.col("start_frame").alias("region_start"),
+        F.col("frame").alias("start_frame"),
+        F.coalesce("__cut", "end_frame").alias("end_frame"),
+        (F.col("frame") == F.col("start_frame")).alias("first"),
+        F.col("__cut").isNull().alias("final"),
     )
     return short.unionByName(pieces)
 
