@@ -42,14 +42,46 @@ def merged_regions(spark, sf):
     return op.merge_regions(t.regions(spark, sf), max_gap=4, max_length=12).filter(F.col("end") - F.col("start") > 1)
 
 
-@job("long_regions_cut_v4")
+def _cut_sql(on: float, off: float) -> str:
+    """Pieces of regions over eight frames, walked piece by piece, padded by 200 ms."""
+    return f"""with recursive states as (select *, coalesce(last_value(case when prob >= {on} then 1 when prob < {off} then 0 end ignore nulls)
+            over (partition by recording_id order by frame rows unbounded preceding), 0) as active from frames),
+        found as (select recording_id, min(frame) as region_start, max(frame) as region_end
+                  from (select *, sum(1 - active) over (partition by recording_id order by frame) as run from states)
+                  where active = 1 group by recording_id, run),
+        walk as (
+            select recording_id, region_start, region_end, region_start as start_frame from found
+            union all
+            select w.recording_id, w.region_start, w.region_end,
+                   (select f.frame from frames f where f.recording_id = w.recording_id and f.frame >= w.start_frame + 4
+                    and f.frame < w.start_frame + 8 order by f.prob, f.frame limit 1) + 1
+            from walk w where w.region_end - w.start_frame > 8),
+        pieces as (select *, lead(start_frame) over (partition by recording_id, region_start order by start_frame) - 1 as cut from walk),
+        timed as (select recording_id, region_start, start_frame, coalesce(cut, region_end) as end_frame,
+                         start_frame = region_start as first, cut is null as final from pieces),
+        padded as (select *, start_frame * 20 - case when first then 200 else 0 end as start_ms,
+                          (end_frame + 1) * 20 + case when final then 200 else 0 end as end_ms from timed)"""
+
+
+@job("long_regions_cut_v4", t.sql("frames", _cut_sql(0.2, 0.05) + " select * from padded"))
 def long_regions(spark, sf):
     frames = t.frames(spark, sf)
     found = op.speech_regions(frames, bos=0.2, eos=0.05)
     return op.pad_pieces(op.cut_long_regions(frames, found, max_frames=8), 20, 200)
 
 
-@job("regions_clamped_v5")
+@job(
+    "regions_clamped_v5",
+    t.sql(
+        "frames",
+        _cut_sql(0.6, 0.4)
+        + """, lengths as (select recording_id, (max(frame) + 1) * 20 as duration_ms from frames group by recording_id)
+        select recording_id, greatest(start_ms, 0) as start_ms, least(end_ms, duration_ms) as end_ms
+        from padded join lengths using (recording_id)
+        union all select recording_id, 0, least(29000, duration_ms) from lengths
+        where recording_id not in (select recording_id from padded)""",
+    ),
+)
 def clamped(spark, sf):
     frames = t.frames(spark, sf)
     found = op.speech_regions(frames, bos=0.6, eos=0.4)
@@ -58,7 +90,38 @@ def clamped(spark, sf):
     return op.clamp_or_default(pieces, recordings)
 
 
-@job("voice_activity_v6")
+@job(
+    "voice_activity_v6",
+    t.sql(
+        "frames",
+        # frame by frame; q: where the silence began, c: last silence long enough for a cut, r: speech after it
+        """with recursive lengths as (select recording_id, (max(frame) + 1) * 512 as total from frames group by recording_id),
+        items as materialized (select recording_id, frame, frame * 512 as pos, prob >= 0.25::double as speech,
+                                      prob < 0.25::double - 0.15::double as quiet from frames),
+        walk as (
+            select recording_id, cast(-1 as bigint) as frame, cast(null as bigint) as o, cast(null as bigint) as q, cast(null as bigint) as c,
+                   cast(null as bigint) as r, cast(null as bigint) as a, cast(null as bigint) as b from lengths
+            union all
+            select recording_id, frame, case when ends then null else o2 end, case when ends then null else q2 end,
+                   case when ends then null else c2 end, case when ends then null else r1 end,
+                   case when forced then o when ends and q2 - o2 > 320 then o2 end,
+                   case when forced then coalesce(c, pos) when ends and q2 - o2 > 320 then q2 end
+            from (select *, coalesce(quiet and pos - q2 >= 2080, false) as ends from (
+                select *, case when quiet and pos - q2 > 1568 then q2 else c1 end as c2 from (
+                  select *, case when o2 is not null and not opens and quiet then coalesce(q1, pos) else q1 end as q2 from (
+                    select *, case when opens then pos when forced then case when r0 >= c then r0 end else o end as o2,
+                           case when forced then null else q0 end as q1, case when forced then null else c end as c1,
+                           case when forced then null else r0 end as r1 from (
+                      select *, speech and o is null as opens, coalesce(pos - o > 17728, false) as forced from (
+                        select w.recording_id, i.frame, i.pos, i.speech, i.quiet, w.o, w.c, case when i.speech then null else w.q end as q0,
+                               case when i.speech and w.q is not null and w.c is not null and (w.r is null or w.r < w.c) then i.pos else w.r end as r0
+                        from walk w join items i on i.recording_id = w.recording_id and i.frame = w.frame + 1))))))),
+        ends as (select recording_id, a, b from walk where a is not null
+                 union all select recording_id, o, total from walk join lengths using (recording_id)
+                 where (frame + 1) * 512 = total and total - o > 320)
+        select recording_id, a as start, b as "end" from ends""",
+    ),
+)
 def voice_activity(spark, sf):
     return op.voice_activity(
         t.frames(spark, sf), threshold=0.25, min_speech_ms=20, max_speech_s=1.2, min_silence_ms=130, pad_ms=30
@@ -100,11 +163,53 @@ def binarized(spark, sf):
     return op.binarize(t.frames(spark, sf), 0.3, 0.15).select("recording_id", "start_frame", "end_frame")
 
 
-@job("binarized_with_limit_v8")
+@job(
+    "binarized_with_limit_v8",
+    t.sql(
+        "frames",
+        # frame by frame; seen: scores gathered and their frames
+        """with recursive lengths as (select recording_id, max(frame) as final from frames group by recording_id),
+        walk as (
+            select recording_id, frame, prob > 0.2 as on_now, frame as s, [{'y': prob, 't': frame}] as seen,
+                   cast(null as bigint) as a, cast(null as bigint) as b from frames where frame = 0
+            union all
+            select recording_id, frame, case when cut then true when closing then false when on_now then true else prob > 0.2 end,
+                   case when cut then low.t when closing then frame when on_now then s when prob > 0.2 then frame else s end,
+                   case when cut then list_append(list_filter(seen, lambda x: x.t > low.t), now) when closing then [now]
+                        when on_now then list_append(seen, now) else seen end,
+                   case when cut or closing then s end, case when cut then low.t when closing then frame end
+            from (select *, on_now and not cut and prob < 0.05 as closing from (
+                select w.recording_id, i.frame, i.prob, w.on_now, w.s, w.seen, {'y': i.prob, 't': i.frame} as now,
+                       w.on_now and i.frame - w.s > 6 as cut, list_min(w.seen[len(w.seen) // 2 + 1:]) as low
+                from walk w join frames i on i.recording_id = w.recording_id and i.frame = w.frame + 1)))
+        select recording_id, a as start_frame, b as end_frame from walk where a is not null
+        union all select recording_id, s, frame from walk join lengths using (recording_id) where frame = final and on_now""",
+    ),
+)
 def binarized_limited(spark, sf):
     return op.binarize_limited(t.frames(spark, sf), 0.2, max_frames=6, offset=0.05)
 
 
+@job(
+    "binarized_padded_v8",
+    t.sql(
+        "frames",
+        f"""with {LENGTHS},
+        states as (select *, coalesce(last_value(case when prob > 0.3 then 1 when prob < 0.15 then 0 end ignore nulls)
+            over (partition by recording_id order by frame rows unbounded preceding), 0) as active from frames),
+        found as (select recording_id, min(frame) - 1 as start, least(max(frame) + 1, min(n) - 1) + 2 as "end"
+            from (select *, sum(1 - active) over (partition by recording_id order by frame) as run from states)
+                 join lengths using (recording_id) where active = 1 group by recording_id, run),
+        reach as (select *, max("end") over (partition by recording_id order by start rows between unbounded preceding and 1 preceding) as r from found),
+        runs as (select *, sum(case when r is null or start > r + 1 then 1 else 0 end) over (partition by recording_id order by start) as run from reach)
+        select recording_id, min(start) as start, max("end") as "end" from runs group by recording_id, run
+        having max("end") - min(start) >= 8""",
+    ),
+)
+def binarized_padded(spark, sf):
+    return op.active_regions(t.frames(spark, sf), 0.3, 0.15, pad_onset=1, pad_offset=2, min_off=1, min_on=8)
+
+
 @job(
     "gaps_filled_v9",
     t.sql(

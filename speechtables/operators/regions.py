@@ -14,7 +14,7 @@ from speechtables.plans.asof import next_mark
 from speechtables.plans.carry import fold
 from speechtables.plans.intervals import points_in_intervals
 from speechtables.plans.jumps import visited
-from speechtables.plans.ordered import BLOCK_ROWS, neighbours, row_block, run_ids, scan
+from speechtables.plans.ordered import BLOCK_ROWS, neighbours, row_block, run_ids, scan, with_ordinal
 from speechtables.plans.ranges import explode_count
 from speechtables.plans.skew import spread_lookup
 from speechtables.plans.sliding import least_ahead
@@ -145,6 +145,39 @@ def binarize_limited(
     return pieces.select(*keys, "start_frame", "end_frame")
 
 
+def active_regions(
+    frames: DataFrame,
+    onset: float,
+    offset: float | None = None,
+    pad_onset: int = 0,
+    pad_offset: int = 0,
+    min_off: int = 0,
+    min_on: int = 0,
+    max_frames: int | None = None,
+    keys: Sequence[str] = KEYS,
+    rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Binarisation with all its steps, in frames: regions, padded on both sides, joined where they then overlap or leave no
+    more than ``min_off``, and kept from ``min_on`` on. A start may fall before the first frame by the pad.
+
+    ``max_frames`` cuts long regions instead; joining would undo the cuts, so it excludes pads and ``min_off``.
+    """
+    keys = list(keys)
+    if max_frames is not None:
+        if pad_onset or pad_offset or min_off:
+            raise ValueError("max_frames cannot be combined with pads or min_off")
+        found = binarize_limited(frames, onset, max_frames, offset, keys, rows=rows)
+        found = found.withColumnsRenamed({"start_frame": "start", "end_frame": "end"})
+        return found.filter(F.col("end") - F.col("start") >= min_on)
+    found = binarize(frames, onset, offset, keys=keys, rows=rows).select(
+        *keys, (F.col("start_frame") - pad_onset).alias("start"), (F.col("end_frame") + pad_offset).alias("end")
+    )
+    if not (pad_onset or pad_offset or min_off):
+        return found.filter(F.col("end") - F.col("start") >= min_on)
+    numbered = with_ordinal(found, keys, ["start"], F.expr(f"start div {rows}"))
+    return fill_gaps(numbered, min_off, min_on, keys, rows=rows).select(*keys, "start", "end")
+
+
 def cut_long_regions(
     frames: DataFrame, regions: DataFrame, max_frames: int, cut_factor: int = 2, keys: Sequence[str] = KEYS, rows: int = BLOCK_ROWS
 ) -> DataFrame:
