@@ -217,26 +217,99 @@ def segment_rows(spark, sf):
     )
 
 
-@job("boundaries_fixed_g14")
+_SEGMENT_ROWS = """limits as (select *, coalesce(least(median(case when "end" <> start then "end" - start end) over (partition by recording_id, seq), 0.7::double), 0.0::double) as median from timed),
+        whole as (select recording_id, seq, min(median) as median,
+                list({'word': word, 'start': start + seq * 10.0::double, 'end': "end" + seq * 10.0::double, 'probability': probability / 300} order by pos) as w
+            from limits group by recording_id, seq),
+        segment_rows as (select recording_id, seq, w[1].start + seq % 3 * 0.4::double as start, w[-1]."end" - seq % 2 * 0.3::double as "end",
+                case when seq % 4 = 3 then [] else w end as words, median, median * 2 as longest from whole)"""
+
+
+@job(
+    "boundaries_fixed_g14",
+    t.sql(
+        "words",
+        # segment by segment; spoken: where speech ended before; hs, he: first word, ss: start of the second, ls, le: last word
+        f"""with recursive {_SUBWORDS}, {_WORDS}, {_TIMED}, {_SEGMENT_ROWS},
+        items as materialized (select *, row_number() over (partition by recording_id order by seq) as k, len(words) as n from segment_rows where len(words) > 0),
+        walk as (
+            select recording_id, cast(null as bigint) as seq, cast(0 as bigint) as k, cast(null as double) as start, 0.0::double as "end",
+                   cast(null as struct(word varchar, start double, "end" double, probability double)[]) as words from items where k = 1
+            union all
+            select recording_id, seq, k, case when early then start else hs2 end, case when late then "end" else le end,
+                   list_transform(words, lambda w, i: {{'word': w.word, 'start': case when i = 1 then hs2 when i = 2 then ss else w.start end,
+                       'end': case when i = n then (case when late then greatest(ls + median, "end") else le end) when i = 1 then he else w."end" end,
+                       'probability': w.probability}})
+            from (select *, "end" > ls and "end" + 0.5 < le as late from (
+                select *, case when n = 1 then hs2 when n = 2 then ss else words[n].start end as ls, case when n = 1 then he else words[n]."end" end as le from (
+                  select *, case when early then greatest(0, least(he - median, start)) else hs end as hs2 from (
+                    select *, start < he and start - 0.5 > hs as early from (
+                      select *, case when paused then greatest(0, he - longest) else words[1].start end as hs from (
+                        select *, case when shared then meet else words[1]."end" end as he, case when shared then meet else words[2].start end as ss from (
+                          select *, paused and n > 1 and words[2]."end" - words[2].start > longest as shared,
+                                 greatest(words[2]."end" / 2, words[2]."end" - longest) as meet from (
+                            select i.*, i.words[1]."end" - w."end" > 4 * i.median and (i.words[1]."end" - i.words[1].start > i.longest
+                                       or (i.n > 1 and i.words[2]."end" - i.words[1].start > 2 * i.longest)) as paused
+                            from walk w join items i on i.recording_id = w.recording_id and i.k = w.k + 1)))))))))
+        select recording_id, seq, start, "end", words from walk where k > 0
+        union all select recording_id, seq, start, "end", words from segment_rows where len(words) = 0""",
+    ),
+)
 def boundaries(spark, sf):
     return op.fix_boundaries(segment_rows(spark, sf))
 
 
 def hallucination_rows(spark, sf):
+    """Windows of three segments; every fourth segment is made of short, improbable words, every ninth begins late,
+    and every fifth has no words."""
+    odd = (F.col("recording_id") + F.col("seq")) % 4 == 1
+    begin = F.col("seq") * 10.0 + F.when(F.col("seq") % 9 == 0, 3.0).otherwise(0.0) + F.col("pos") * 0.25
+    item = F.struct(
+        "pos",
+        "word",
+        begin.alias("start"),
+        (begin + F.when(odd, 0.05).otherwise(0.2)).alias("end"),
+        F.when(odd, 0.1).otherwise(0.9).alias("probability"),
+    )
+    rows = t.words(spark, sf).groupBy(*SEGMENT).agg(F.array_sort(F.collect_list(item)).alias("w"))
+    bare = F.transform("w", lambda w: F.struct(w["word"].alias("word"), w["start"].alias("start"), w["end"].alias("end"), w["probability"].alias("probability")))
     window = F.expr("seq div 3")
-    return segment_rows(spark, sf).select(
+    return rows.select(
         *SEGMENT,
         window.alias("window"),
-        "start",
-        "end",
-        "words",
+        F.col("w")[0]["start"].alias("start"),
+        F.element_at("w", -1)["end"].alias("end"),
+        F.when(F.col("seq") % 5 == 4, F.array().cast(op.WORDS_TYPE)).otherwise(bare.cast(op.WORDS_TYPE)).alias("words"),
         (window * 30.0).alias("window_start"),
         (window * 30.0 + 30.0).alias("window_end"),
-        F.lit(0.0).alias("last_speech"),
+        F.greatest(F.lit(0.0), window * 30.0 - 1.0).alias("last_speech"),
     )
 
 
-@job("hallucinations_dropped_g15")
+@job(
+    "hallucinations_dropped_g15",
+    t.sql(
+        "words",
+        f"""with shaped as (select *, (recording_id + seq) % 4 = 1 as odd_one, seq * 10.0::double + case when seq % 9 = 0 then 3.0::double else 0.0::double end + pos * 0.25::double as b from words),
+        rows_ as (select recording_id, seq, seq // 3 as win, min(b) as start, arg_max(b + case when odd_one then 0.05::double else 0.2::double end, pos) as "end",
+                min(b) as first, case when seq % 5 = 4 then [] else list({{'word': word, 'length': (b + case when odd_one then 0.05::double else 0.2::double end) - b,
+                    'probability': case when odd_one then 0.1::double else 0.9::double end}} order by pos) end as words
+            from shaped group by recording_id, seq),
+        real as (select *, list_filter(words, lambda w: not contains('{_OPENING}{_CLOSING}', w.word))[:8] as r from rows_),
+        scored as (select *, coalesce(list_sum(list_transform(r, lambda w: case when w.probability < 0.15 then 1.0::double else 0.0::double end
+                + case when w.length < 0.133 then (0.133::double - w.length) * 15 else 0.0::double end + case when w.length > 2 then w.length - 2 else 0.0::double end)), 0.0::double) as score from real),
+        judged as (select *, win * 30.0::double as ws, win * 30.0::double + 30 as we, len(words) > 0 and (score >= 3 or score + 0.01 >= len(r)) as odd from scored),
+        spoken as (select *, lag("end") over w as before, lead(first) over w as after, lead(odd) over w as next_odd
+            from judged where len(words) > 0 window w as (partition by recording_id, win order by seq)),
+        cuts as (select recording_id, win,
+                min(case when odd and (start - coalesce(before, greatest(0, ws - 1)) > 2 or start < 2 or start - ws < 2)
+                    and (coalesce(after, we) - "end" > 2 or coalesce(next_odd, false) or we - "end" < 2) then seq end) as cut,
+                bool_or(odd and before is null and start - ws > 2) as skip
+            from spoken group by recording_id, win)
+        select j.recording_id, j.seq, j.win as "window", j.start, j."end" from judged j left join cuts c on c.recording_id = j.recording_id and c.win = j.win
+        where not coalesce(c.skip, false) and (c.cut is null or j.seq < c.cut)""",
+    ),
+)
 def hallucinations(spark, sf):
     return op.drop_hallucinations(hallucination_rows(spark, sf), 2.0).select(*SEGMENT, "window", "start", "end")
 
@@ -329,7 +402,34 @@ def aligned_chars(spark, sf):
     )
 
 
-@job("chars_to_sentences_g20")
+@job(
+    "chars_to_sentences_g20",
+    t.sql(
+        "words",
+        # word by word; rate: time per character, fixed at the first word without times
+        """with recursive chars as (select recording_id, seq, pos // 12 as sentence, pos, word, start_ms, k, k <= length(word) and pos % 6 <> 2 as known
+            from (select *, unnest(range(1, length(word) + 2)) as k from words)),
+        items as materialized (select recording_id, seq, sentence, pos, word,
+                cast(min(case when known then start_ms + (k - 1) * 10 end) as double) as s, cast(max(case when known then start_ms + k * 12 end) as double) as e,
+                avg(case when known then cast(k * 13 % 100 as double) end) as score from chars group by recording_id, seq, sentence, pos, word),
+        spans as materialized (select recording_id, seq, sentence, min(s) as start, max(e) as "end" from items group by recording_id, seq, sentence),
+        walk as (
+            select recording_id, seq, sentence, sentence * 12 - 1 as pos, cast(null as varchar) as word, cast(null as double) as a, cast(null as double) as b,
+                   cast(null as double) as score, cast(null as double) as rate, 0.0::double as spent, 0 as timed from spans
+            union all
+            select recording_id, seq, sentence, pos, word, a, b, case when gap then coalesce(score, 0.5) else score end, rate2,
+                   case when a is not null and b is not null then spent + (b - a) / length(word) else spent end,
+                   case when a is not null and b is not null then timed + 1 else timed end
+            from (select *, case when prev is not null and s2 < prev then prev else s2 end as a, coalesce(e, s2 + length(word) * rate2) as b from (
+                select w.recording_id, w.seq, w.sentence, i.pos, i.word, i.e, i.score, w.spent, w.timed, w.b as prev, i.s is null or i.e is null as gap,
+                       coalesce(i.s, w.b, p.start) as s2,
+                       case when i.s is null or i.e is null then coalesce(w.rate, case when w.timed > 0 then w.spent / w.timed else 0.1::double end) else w.rate end as rate2
+                from walk w join items i on i.recording_id = w.recording_id and i.seq = w.seq and i.sentence = w.sentence and i.pos = w.pos + 1
+                join spans p on p.recording_id = w.recording_id and p.seq = w.seq and p.sentence = w.sentence)))
+        select recording_id, seq, sentence, p.start, p."end", list({'word': word, 'start': a, 'end': b, 'score': w.score} order by pos) as words
+        from walk w join spans p using (recording_id, seq, sentence) where word is not null group by recording_id, seq, sentence, p.start, p."end" """,
+    ),
+)
 def char_sentences(spark, sf):
     return op.chars_to_sentences(aligned_chars(spark, sf))
 
@@ -394,6 +494,20 @@ def gappy_segments(spark, sf):
     )
 
 
-@job("missing_times_g24")
+@job(
+    "missing_times_g24",
+    t.sql(
+        "segments",
+        """with items as (select recording_id, seq, case when seq % 3 <> 1 then start_ms end as s, case when seq % 4 < 2 then end_ms end as e, length(text) as n from segments),
+        rates as (select recording_id, coalesce(sum(e - s) / nullif(sum(case when s is not null and e is not null then n end), 0), 0.1::double) as rate
+            from items group by recording_id),
+        linked as (select i.*, rate, (select max(b.seq) from items b where b.recording_id = i.recording_id and b.seq <= i.seq and b.s is not null) as anchor
+            from items i join rates using (recording_id)),
+        summed as (select l.*, (select coalesce(sum(c.n), 0) from items c where c.recording_id = l.recording_id and c.seq > coalesce(l.anchor, -1) and c.seq <= l.seq) as since,
+                coalesce(b.e, b.s + b.n * rate, 0.0::double) as base from linked l left join items b on b.recording_id = l.recording_id and b.seq = l.anchor)
+        select recording_id, seq, case when s is null then base + cast(since - n as bigint) * rate else s end as start,
+            case when s is null then base + cast(since as bigint) * rate else coalesce(e, s + n * rate) end as "end" from summed""",
+    ),
+)
 def missing_times(spark, sf):
     return op.estimate_missing_times(gappy_segments(spark, sf)).select(*SEGMENT, "start", "end")
