@@ -377,6 +377,41 @@ def original_times(spark, sf):
     )
 
 
+@job(
+    "original_segments_v17",
+    t.sql(
+        "words",
+        f"""with {_PIECES},
+        packed as (select *, "end" - silence as upto, lag("end" - silence, 1, -1) over w as since, seq = max(seq) over (partition by recording_id) as final
+            from (select *, sum(start - coalesce(pe, 0)) over (partition by recording_id order by seq) as silence
+                  from (select *, lag("end") over (partition by recording_id order by seq) as pe from pieces))
+            window w as (partition by recording_id order by seq)),
+        moved as (select w.recording_id, w.seq, w.pos, w.word, round(w.start_ms + silence::double, -1) as s, round(w.end_ms + silence::double, -1) as e
+            from words w join packed p on w.recording_id = p.recording_id
+                and (w.start_ms + w.end_ms) // 2 >= since and ((w.start_ms + w.end_ms) // 2 < upto or final) where w.seq % 3 <> 2),
+        bare as (select recording_id, seq, min(start_ms) as a, max(end_ms) as b from words where seq % 3 = 2 group by recording_id, seq)
+        select recording_id, seq, min(s) as start, arg_max(e, pos) as "end", list({{'word': word, 'start': s, 'end': e}} order by pos) as words
+        from moved group by recording_id, seq
+        union all select b.recording_id, b.seq, round(a + p.silence::double, -1), round(b.b + q.silence::double, -1), null from bare b
+            join packed p on p.recording_id = b.recording_id and a >= p.since and (a < p.upto or p.final)
+            join packed q on q.recording_id = b.recording_id and b.b >= q.since and (b.b < q.upto or q.final)""",
+    ),
+)
+def original_segments(spark, sf):
+    """Every third segment comes without words; times rounded to ten milliseconds."""
+    item = F.struct("pos", "word", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    rows = _words(spark, sf).groupBy("recording_id", "seq").agg(F.array_sort(F.collect_list(item)).alias("w"))
+    words = F.transform("w", lambda w: F.struct(w["word"].alias("word"), w["start"].alias("start"), w["end"].alias("end")))
+    segments = rows.select(
+        "recording_id",
+        "seq",
+        F.array_min(F.transform("w", lambda w: w["start"])).alias("start"),
+        F.array_max(F.transform("w", lambda w: w["end"])).alias("end"),
+        F.when(F.col("seq") % 3 != 2, words).alias("words"),
+    )
+    return op.restore_segments(segments, _pieces(spark, sf), width=600_000, digits=-1)
+
+
 @job(
     "stitched_times_v18",
     t.sql(

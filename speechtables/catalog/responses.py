@@ -8,7 +8,7 @@ from speechtables.catalog.jobs import _FILLED, _ROUTED
 from speechtables.catalog.speakers import _CHANNELS, _J2, TEN_MINUTES_MS, TIMES
 from speechtables.catalog.text import punct_sql
 from speechtables.operators import jobs as request
-from speechtables.operators.responses import job_utterances
+from speechtables.operators.responses import job_utterances, job_words
 
 
 def _hms(x: str) -> str:
@@ -43,6 +43,35 @@ def _hms(x: str) -> str:
     ),
 )
 def utterances(spark, sf):
+    return job_utterances(*_inputs(spark, sf))
+
+
+@job(
+    "job_words_p5_p11",
+    t.sql(
+        "words segments conv_turns jobs",
+        f"""with {_FILLED}, {_ROUTED},
+        picked as (select *, job as recording_id, case when multi_channel then 'channels' when diarization then 'speakers' else 'plain' end as branch
+            from routed where timestamps in ('s', 'ms', 'hms') and word_timestamps),
+        {_J2},
+        m1 as (select *, row_number() over w as nr, case when lag(speaker) over w = speaker then 0 else 1 end as opens from mapped window w as (partition by recording_id order by seq, piece)),
+        r1 as (select *, sum(opens) over (partition by recording_id order by nr) as run from m1),
+        {_CHANNELS},
+        every as (
+            select recording_id, 'plain' as branch, seq as part, seq as first, pos as second, word, start_ms as s, end_ms as e from words
+            union all select n.recording_id, 'speakers', cast(run as bigint), n.seq, n.pos, n.word, n.start_ms, n.end_ms
+                from numbered n join r1 on r1.recording_id = n.recording_id and r1.seq = n.seq and r1.piece = n.piece
+            union all select recording_id, 'channels', cast(run as bigint), nr - 1, 0, trim(word), s, e from runs)
+        select recording_id, branch, part, first, second, word, s / 1000.0::double as start, e / 1000.0::double as "end"
+        from every join picked using (recording_id, branch)""",
+    ),
+)
+def utterance_words(spark, sf):
+    return job_words(*_inputs(spark, sf)).select("recording_id", "branch", "part", "place.first", "place.second", "word", "start", "end")
+
+
+def _inputs(spark, sf):
+    """Checked jobs, segments, words and turns in milliseconds; every second segment of a multi-channel job is the other channel's."""
     checked = request.validate(request.route(request.with_defaults(t.jobs(spark, sf)))).filter(F.col("error").isNull())
     words = t.words(spark, sf).withColumnsRenamed(TIMES)
     shift = F.col("seq") % 2 * 7000
@@ -55,7 +84,7 @@ def utterances(spark, sf):
         .withColumn("spoken", F.concat(F.lit(" "), F.col("word")))
         .drop("multi")
     )
-    return job_utterances(
+    return (
         checked.withColumnRenamed("job", "recording_id"),
         t.segments(spark, sf).withColumnsRenamed(TIMES),
         words,

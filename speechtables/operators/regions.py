@@ -551,6 +551,46 @@ def restore_times(
     return found.withColumn("start", F.col("start") + shift).withColumn("end", F.col("end") + shift).drop("mark", "__mid")
 
 
+def restore_segments(
+    segments: DataFrame,
+    regions: DataFrame,
+    width: float,
+    keys: Sequence[str] = KEYS,
+    seq: str = "seq",
+    rows: int = BLOCK_ROWS,
+    unit: int = 1,
+    digits: int = 2,
+) -> DataFrame:
+    """Whole segments (``start, end, words``) of speech-only audio put back on the original time line, times rounded.
+
+    Words go by the region of their middle; a segment then begins with its first and ends with its last word. Without words
+    its two edges go each by its own region. A recording without regions keeps its times. Points of all segments are looked
+    up at once; what a segment gathers is its own words.
+    """
+    keys = list(keys)
+    packed = silence_before(regions, keys, rows=rows).select(*keys, "seq", "packed_end", "silence")
+    spoken = F.coalesce(F.size("words") > 0, F.lit(False))
+    point = lambda at, pos: F.struct(pos.cast("int").alias("pos"), F.floor(at * unit).cast("bigint").alias("at"))
+    edges = F.array(point(F.col("start"), F.lit(0)), point(F.col("end"), F.lit(1)))
+    points = F.when(spoken, F.transform("words", lambda w, i: point((w["start"] + w["end"]) / 2, i))).otherwise(edges)
+    known = segments.withColumnRenamed(seq, "__segment")
+    asked = known.select(*keys, "__segment", F.explode(points).alias("__p")).select(*keys, "__segment", "__p.pos", "__p.at")
+    found = next_mark(asked, "at", packed, "packed_end", keys, ["seq"], width, strict=True)
+    entry = F.struct("pos", F.coalesce(F.col("mark.silence") / unit, F.lit(0.0)).alias("by"))
+    shifts = found.groupBy(*keys, "__segment").agg(F.array_sort(F.collect_list(entry)).alias("__shifts"))
+    moved = lambda value, place: F.round(value + F.get("__shifts", place)["by"], digits)
+    words = F.transform(
+        "words", lambda w, i: w.withField("start", moved(w["start"], i)).withField("end", moved(w["end"], i))
+    )
+    out = known.join(shifts, [*keys, "__segment"], "left").withColumn("__words", F.when(spoken, words).otherwise(F.col("words")))
+    return out.select(
+        *[F.col("__segment").alias(seq) if c == seq else F.col(c) for c in segments.columns if c not in ("start", "end", "words")],
+        F.when(spoken, F.get("__words", F.lit(0))["start"]).otherwise(moved(F.col("start"), F.lit(0))).alias("start"),
+        F.when(spoken, F.element_at("__words", -1)["end"]).otherwise(moved(F.col("end"), F.lit(1))).alias("end"),
+        F.col("__words").alias("words"),
+    )
+
+
 def restore_stitched(words: DataFrame, members: DataFrame, width: float, keys: Sequence[str] = ("recording_id", "chunk"), seq: str = "seq") -> DataFrame:
     """Word times inside a stitched chunk shifted by what lies between its members."""
     inside = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechtables.operators.jobs import branch, empty_audio
-from speechtables.operators.speakers import merge_channels, segments_to_turns
-from speechtables.operators.utterances import finish, reconstruct
+from speechtables.operators.speakers import channel_runs, merge_channels, segments_to_turns
+from speechtables.operators.utterances import finish, reconstruct, speaker_runs
 from speechtables.plans.intervals import time_block
 from speechtables.plans.ordered import with_ordinal
 from speechtables.plans.skew import spread_lookup
@@ -43,6 +43,64 @@ def response_documents(jobs: DataFrame, utterances: DataFrame, times: DataFrame,
     )
 
 
+def _branches(routed: DataFrame, keys: Sequence[str]):
+    """``of(rows, branch, spread)``: the rows of the jobs that take a branch."""
+
+    def of(rows: DataFrame, name: str, spread: str) -> DataFrame:
+        return spread_lookup(rows, routed.filter(F.col("branch") == name).select(*keys), keys, F.col(spread), "left_semi")
+
+    return of
+
+
+def _placed_pieces(of, segments: DataFrame, words: DataFrame, turns: DataFrame, threshold: int, width: int, keys: Sequence[str]) -> DataFrame:
+    """Pieces of segments that have a speaker, numbered in order."""
+    mapped = segments_to_turns(
+        of(segments, "speakers", "seq"), of(words, "speakers", "seq"), of(turns, "speakers", "seq"), threshold, width, keys
+    )
+    return with_ordinal(
+        mapped.filter(F.col("speaker").isNotNull()).withColumnRenamed("seq", "segment"), keys, ["segment", "piece"], time_block("segment", 1000)
+    )
+
+
+def job_words(
+    jobs: DataFrame,
+    segments: DataFrame,
+    words: DataFrame,
+    turns: DataFrame,
+    width: int,
+    threshold: int = 300,
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """Words of the final utterances of jobs that ask for word times, as rows: ``branch`` and ``part`` name the utterance of
+    ``job_utterances``, ``place`` orders its words.
+
+    An utterance may be as long as its recording, so its words are not gathered in one value. Times are in seconds,
+    neither shifted by the job's offset nor formatted. ``words`` as in ``job_utterances``.
+    """
+    routed = branch(jobs.filter(F.coalesce("word_timestamps", F.lit(False))))
+    of = _branches(routed, keys)
+    order = F.struct(F.col("seq").cast("bigint").alias("first"), F.col("pos").cast("bigint").alias("second"))
+    said = [*keys, "seq", "pos", "word", "start", "end"]
+    plain = of(words, "plain", "seq").select(*said, F.lit("plain").alias("branch"), F.col("seq").cast("bigint").alias("part"), order.alias("place"))
+
+    pieces = speaker_runs(_placed_pieces(of, segments, words, turns, threshold, width, keys), keys).select(
+        *keys, F.col("segment").alias("seq"), "first_pos", "last_pos", F.col("run").alias("part")
+    )
+    diarized = (
+        of(words, "speakers", "seq")
+        .join(pieces, [*keys, "seq"])
+        .filter(F.col("pos").between(F.col("first_pos"), F.col("last_pos")))
+        .select(*said, F.lit("speakers").alias("branch"), "part", order.alias("place"))
+    )
+    channels = channel_runs(of(words, "channels", "seq").select(*said, "channel"), width, keys)
+    at = F.struct(F.col("at").cast("bigint").alias("first"), F.lit(0).cast("bigint").alias("second"))
+    merged = channels.select(*said, F.lit("channels").alias("branch"), F.col("run").alias("part"), at.alias("place"))
+    every = plain.unionByName(diarized).unionByName(merged)
+    return every.select(
+        *keys, "branch", "part", "place", "word", (F.col("start") / 1000.0).alias("start"), (F.col("end") / 1000.0).alias("end")
+    )
+
+
 def job_utterances(
     jobs: DataFrame,
     segments: DataFrame,
@@ -59,20 +117,13 @@ def job_utterances(
     turns yield the row that stands for empty audio.
     """
     routed = branch(jobs)
-
-    def of(rows: DataFrame, name: str, spread: str) -> DataFrame:
-        return spread_lookup(rows, routed.filter(F.col("branch") == name).select(*keys), keys, F.col(spread), "left_semi")
+    of = _branches(routed, keys)
 
     columns = [*keys, "branch", "part", "speaker", "start", "end", "text"]
     plain = of(segments, "plain", "seq").select(
         *keys, F.lit("plain").alias("branch"), F.col("seq").alias("part"), F.lit(None).cast("int").alias("speaker"), "start", "end", "text"
     )
-    mapped = segments_to_turns(
-        of(segments, "speakers", "seq"), of(words, "speakers", "seq"), of(turns, "speakers", "seq"), threshold, width, keys
-    )
-    ordered = with_ordinal(
-        mapped.filter(F.col("speaker").isNotNull()).withColumnRenamed("seq", "segment"), keys, ["segment", "piece"], time_block("segment", 1000)
-    )
+    ordered = _placed_pieces(of, segments, words, turns, threshold, width, keys)
     diarized = reconstruct(ordered, keys).select(*keys, F.lit("speakers").alias("branch"), F.col("run").alias("part"), "speaker", "start", "end", "text")
     channels = of(words, "channels", "seq").select(*keys, "seq", "pos", "channel", "start", "end", F.col("spoken").alias("word"))
     merged = merge_channels(channels, width, keys).select(*keys, F.lit("channels").alias("branch"), F.col("run").alias("part"), "speaker", "start", "end", "text")

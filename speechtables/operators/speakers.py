@@ -157,13 +157,18 @@ def _longer_piece_decides(pieces: DataFrame, keys: Sequence[str], rows: int) ->
     return pieces.drop("turn", "endless", "turn_speaker", "cut_after").join(labels, [*keys, "seq", "piece"])
 
 
-def merge_channels(words: DataFrame, width: int, keys: Sequence[str] = KEYS, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Words of all channels in time order; neighbours of one channel form an utterance whose
-    speaker is the channel. Words bring their own blanks, the text is stripped."""
+def channel_runs(words: DataFrame, width: int, keys: Sequence[str] = KEYS, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Words of all channels in time order: ``at``, their place, and ``run``, neighbours of one channel."""
     ordered = with_ordinal(words, keys, ["start", "channel", "seq", "pos"], time_block("start", width), name="at")
     near = neighbours(ordered, keys, "at", prev={"__pc": F.col("channel")}, rows=rows)
     opens = F.col("__pc").isNull() | (F.col("__pc") != F.col("channel"))
-    runs = run_ids(near, keys, "at", opens, rows=rows)
+    return run_ids(near, keys, "at", opens, rows=rows).drop("__pc")
+
+
+def merge_channels(words: DataFrame, width: int, keys: Sequence[str] = KEYS, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Words of all channels in time order; neighbours of one channel form an utterance whose
+    speaker is the channel. Words bring their own blanks, the text is stripped."""
+    runs = channel_runs(words, width, keys, rows)
     pieces = runs.groupBy(*keys, "run", row_block("at", rows).alias("__block")).agg(
         F.min("at").alias("at"),
         F.min("channel").alias("speaker"),

@@ -26,6 +26,19 @@ def join_words(words: str, order: Sequence[str]) -> Column:
     return F.flatten(F.transform(pieces, lambda p: p["__w"]))
 
 
+def speaker_runs(
+    segments: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq", speaker: str = "speaker", dense: bool = True, rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Adds ``run``, the number of the run of one speaker a segment belongs to."""
+    before = {"__ps": F.struct(F.col(speaker).alias("v"))}
+    if dense:
+        marked = neighbours(segments, keys, seq, prev=before, rows=rows)
+    else:
+        marked = scan(segments, keys, [seq], row_block(seq, rows), prev=before)
+    opens = F.col("__ps").isNull() | ~F.col("__ps.v").eqNullSafe(F.col(speaker))
+    return run_ids(marked.withColumn("__opens", opens).drop("__ps"), keys, seq, F.col("__opens"), rows=rows)
+
+
 def reconstruct(
     segments: DataFrame,
     keys: Sequence[str] = KEYS,
@@ -43,13 +56,7 @@ def reconstruct(
     Within a run the text is first joined per block, then across blocks: a very long run never
     gathers single segments in one task, only their joined pieces.
     """
-    before = {"__ps": F.struct(F.col(speaker).alias("v"))}
-    if dense:
-        marked = neighbours(segments, keys, seq, prev=before, rows=rows)
-    else:
-        marked = scan(segments, keys, [seq], row_block(seq, rows), prev=before)
-    opens = F.col("__ps").isNull() | ~F.col("__ps.v").eqNullSafe(F.col(speaker))
-    runs = run_ids(marked.withColumn("__opens", opens).drop("__ps"), keys, seq, F.col("__opens"), rows=rows)
+    runs = speaker_runs(segments, keys, seq, speaker, dense, rows)
     pieces = runs.groupBy(*keys, "run", row_block(seq, rows).alias("__block")).agg(
         F.min(seq).alias(seq),
         F.min_by(start, seq).alias(start),
