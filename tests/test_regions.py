@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from speechtables.operators import regions as op
+from speechtables.plans.sliding import least_ahead
 
 BLOCK = 7
 
@@ -225,3 +226,52 @@ def test_clamp_and_silent_default(spark):
     recordings = spark.createDataFrame([(1, 5000), (2, 70000)], "recording_id bigint, duration_ms bigint")
     got = by_recording(op.clamp_or_default(pieces, recordings).collect(), "start_ms", "end_ms")
     assert got == {1: [(0, 900), (1000, 5000)], 2: [(0, 29000)]}
+
+
+@pytest.mark.parametrize("first,width", [(0, 1), (1, 4), (5, 5)])
+def test_least_ahead(spark, first, width):
+    data = scores(7, (1, 9, 40))
+    rows = frames(spark, data).withColumn("prob", F.when(F.col("frame") % 11 != 3, F.col("prob")))
+    found = least_ahead(rows, ["recording_id"], "frame", "prob", first, width).filter("frame >= 0")
+    got = {(r.recording_id, r.frame): (r.least.value, r.least.at) for r in found.collect()}
+    wanted = {}
+    for r, v in data.items():
+        held = [(float("inf") if i % 11 == 3 else p, i) for i, p in enumerate(v)]
+        for i in range(len(v) - first - width + 1):
+            wanted[r, i] = min(held[i + first : i + first + width])
+    assert got == wanted
+
+
+def test_active_regions(spark):
+    data = scores(8, (1, 30, 90))
+    got = by_recording(op.active_regions(frames(spark, data), 0.6, 0.4, 2, 1, 1, 5, rows=BLOCK).collect(), "start", "end")
+    wanted = {}
+    for r, values in data.items():
+        merged = []
+        for a, b in loop_hysteresis(values, lambda p: p > 0.6, lambda p: p < 0.4):
+            a, b = a - 2, min(b + 1, len(values) - 1) + 1
+            if merged and a - merged[-1][1] <= 1:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        wanted[r] = [m for m in merged if m[1] - m[0] >= 5]
+    assert got == {r: w for r, w in wanted.items() if w}
+    with pytest.raises(ValueError):
+        op.active_regions(frames(spark, data), 0.6, pad_onset=1, max_frames=4)
+
+
+def test_restored_segments(spark):
+    """Regions 2-4, 10-13: packed seconds 0-2 and 2-5; recording 1 has no regions."""
+    word = "array<struct<word:string,start:double,end:double,probability:double>>"
+    rows = [
+        (0, 0, 0.0, 9.0, [("a", 0.5, 1.0, 0.5), ("b", 1.5, 2.2, 0.5), ("c", 2.5, 3.004, 0.5)], "x"),
+        (0, 1, 1.0, 3.0, [], "y"),
+        (0, 2, 4.0, 7.0, None, "z"),
+        (1, 0, 1.0, 2.0, [("d", 1.25, 1.5, 0.5)], "u"),
+    ]
+    segments = spark.createDataFrame(rows, f"recording_id bigint, seq bigint, start double, end double, words {word}, text string")
+    regions = spark.createDataFrame([(0, 0, 200, 400), (0, 1, 1000, 1300)], "recording_id bigint, seq bigint, start bigint, end bigint")
+    got = op.restore_segments(segments, regions, width=1000, unit=100).orderBy("recording_id", "seq").collect()
+    assert [(r.start, r.end, r.text) for r in got] == [(2.5, 11.0, "x"), (3.0, 11.0, "y"), (12.0, 15.0, "z"), (1.25, 1.5, "u")]
+    assert [(w.word, w.start, w.end) for w in got[0].words] == [("a", 2.5, 3.0), ("b", 3.5, 4.2), ("c", 10.5, 11.0)]
+    assert got[1].words == [] and got[2].words is None
