@@ -162,3 +162,15 @@ def test_reconstruction_keeps_every_word(spark):
         else:
             wanted.append([start, end, speaker, text + " "])
     assert [[x.start, x.end, x.speaker, x.text] for x in got] == wanted
+
+
+def test_copies_of_a_lookup_are_planned_at_their_size(spark):
+    from speechtables.plans.skew import spread_lookup
+
+    rows = spark.range(3_000_000).select((F.col("id") % 40_000).alias("key"), "id")
+    lookup = spark.range(40_000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice"))
+    found = spread_lookup(rows, lookup, ["key"], F.col("id"))
+    planned = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in planned and "BroadcastHashJoin" not in planned  # 64 copies of each row, 60 MB in all
+    small = spread_lookup(rows.filter("id < 100000"), lookup, ["key"], F.col("id"), fanout=4)
+    assert small.count() == 100_000 and small.filter("twice <> key * 2").isEmpty()
