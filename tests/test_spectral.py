@@ -74,3 +74,37 @@ def test_tables_and_tasks_give_the_same_speakers(spark):
     for r in data:
         part = labels[labels.recording_id == r].sort_values("i")
         assert len(part) == len(truth[r]) and agree(part.label, truth[r])
+
+
+def test_graphs_of_bits_are_those_of_the_dense_matrix(spark, monkeypatch):
+    import pandas as pd
+
+    from speechtables.plans import bitgraph
+    from speechtables.plans.spectral import least_eigenvalues
+
+    monkeypatch.setattr(bitgraph, "BLOCK_CELLS", 1 << 10)  # blocks of a few rows
+    vectors = np.vstack([blobs(4, [37, 30, 16])[0], blobs(4, [9])[0][:4], blobs(4, [9])[0][:4]])  # with equal rows
+    vectors = np.round(vectors * 16) / 16  # products are exact, so equal ones stay equal in any block
+    n = len(vectors)
+    part = pd.DataFrame({"vectors": [[v] for v in vectors], "owners": [[i] for i in range(n)], "lo": None, "hi": None})
+    affinity = op.fused_affinity(part, (1.0,))
+    for p in (1, 2, 3, 9, 40, n):
+        graph, wanted = bitgraph.BitGraph(part, (1.0,), p), op.neighbour_graph(affinity, p)
+        values = op.spectrum(wanted)
+        off = wanted - np.diag(np.diag(wanted))
+        assert np.allclose(graph.times(np.eye(n)), np.diag(off.sum(1)) - off)
+        assert graph.connected() == op.is_connected(wanted)
+        assert graph.connected_by_nearest() == op.is_connected(op.neighbour_graph(affinity, 1))
+        least, largest = least_eigenvalues(graph.times, graph.degree, 5)
+        assert np.allclose(least, values[:5], atol=1e-6 * values.max()) and largest == pytest.approx(values.max(), rel=1e-6)
+
+
+def test_recordings_beyond_a_dense_matrix_stay_in_tasks(spark, monkeypatch):
+    data = {r: blobs(r + 10, sizes)[0] for r, sizes in enumerate([[14, 12], [10, 9, 11]])}
+    rows = op.single_scale(table(spark, data))
+    wanted = {r.recording_id: r.asDict() for r in op.neighbour_search(rows).collect()}
+    for name in ("_table_search", "least_eigenpairs"):
+        monkeypatch.setattr(op, name, None)  # tables are for recordings beyond the bits
+    counts = op.neighbour_search(rows, task_rows=8)
+    assert {r.recording_id: r.asDict() for r in counts.collect()} == wanted
+    assert op.cluster_speakers(rows, counts).count() == sum(map(len, data.values()))
