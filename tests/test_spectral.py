@@ -82,7 +82,8 @@ def test_graphs_of_bits_are_those_of_the_dense_matrix(spark, monkeypatch):
     from speechtables.plans import bitgraph
     from speechtables.plans.spectral import least_eigenvalues
 
-    monkeypatch.setattr(bitgraph, "BLOCK_CELLS", 1 << 10)  # blocks of a few rows
+    monkeypatch.setattr(bitgraph, "BLOCK_CELLS", 1 << 11)  # blocks of a few rows
+    monkeypatch.setattr(bitgraph, "PRODUCT_CELLS", 1 << 10)
     vectors = np.vstack([blobs(4, [37, 30, 16])[0], blobs(4, [9])[0][:4], blobs(4, [9])[0][:4]])  # with equal rows
     vectors = np.round(vectors * 16) / 16  # products are exact, so equal ones stay equal in any block
     n = len(vectors)
