@@ -18,8 +18,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtables.llm import overlap, packing, quality, secrets, suffixes
+from speechtables.llm import overlap, packing, quality, secrets, simhash, suffixes
 from speechtables.llm.common import read_table, stored
+from speechtables.llm.components import components
 from speechtables.session import run_folder, ship_package
 
 #: SQL can express neither the classifier nor the connected components.
@@ -57,11 +58,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_filtering
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of each class by (doc_id, row number), rows without an id last; ids need not be unique."""
+    """The first row of each class by (doc_id, row number), rows without an id last; ids need not be unique.
+
+    Classes are those of the bit-sliced fingerprints, joined by the links between texts that overlap by words.
+    """
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-copy-rows")
-    member = overlap.overlap_classes(rows.select(F.col("__row").alias("row"), "text"))
-    placed = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    found = rows.select("__row", "doc_id").join(member, F.col("__row") == F.col("row"))
+    texts = rows.select(F.col("__row").alias("row"), "text")
+    near = simhash.near_duplicate_classes(texts.withColumnRenamed("row", "doc_id"), words=3)
+    alike = stored(overlap.overlap_classes(texts), "overlap-classes")
+    least = alike.groupBy("root").agg(F.min("row").alias("v"))
+    links = near.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    member = components(links.union(alike.join(least, "root").select(F.col("row").alias("u"), "v")))
+    placed = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("__row").alias("row"))
+    found = rows.select("__row", "doc_id").join(member, F.col("__row") == F.col("node"), "left")
+    found = found.withColumn("root", F.coalesce("root", "__row"))
     first = found.groupBy("root").agg(F.min(placed)["row"].alias("__row"))
     return rows.join(first, "__row", "left_semi").select(*docs.columns)
 

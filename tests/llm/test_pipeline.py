@@ -173,3 +173,15 @@ def test_all_queries_are_registered():
 
     assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", q)[0] for q in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
+
+
+def test_near_copies_by_fingerprint_go_too(spark):
+    from speechtables.llm.simhash import simhash
+
+    said = "we will call you back as soon as a line opens " * 60
+    texts = [said + " ".join(f"{kind}{n}" for n in range(25)) for kind in ("a", "b")] + ["another text of its own " * 3, None]
+    first, second = (simhash(t.encode()) for t in texts[:2])
+    assert (first ^ second).bit_count() <= 3 and not linked(*(plain_set(t) for t in texts[:2]))
+    docs = spark.createDataFrame([(i, t, "en", "web", None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    assert sorted(r.doc_id for r in got.collect()) == [0, 2, 3]
