@@ -9,8 +9,8 @@ from speechtables.operators import scoring as op
 from speechtables.sources import documents as doc
 
 
-def _steps(spark, sf):
-    return op.align_words(t.ref_hyp(spark, sf))
+def _steps(spark, sf, whole=False):
+    return op.align_words(t.ref_hyp(spark, sf), whole=whole)
 
 
 # The edit table of every turn, a diagonal a round: a cell is its cost times four plus the way it was reached by
@@ -155,7 +155,7 @@ def stats(spark, sf):
 
 @job("utterance_details_a6")
 def details(spark, sf):
-    return op.utterance_details(_steps(spark, sf))
+    return op.utterance_details(_steps(spark, sf, whole=True))
 
 
 @job(

@@ -4,37 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechtables.functions.alignment import edit_steps
-from speechtables.operators.utterances import join_text
 
 GAP = "*"
 CORRECT, SUBSTITUTED, DELETED, INSERTED = "corr", "sub", "del", "ins"
 
 
-def align_words(pairs: DataFrame, key: str = "utt_id") -> DataFrame:
+def align_words(pairs: DataFrame, key: str = "utt_id", whole: bool = False) -> DataFrame:
     """One row per step of the cheapest alignment: ``pos, ref, hyp, kind``; ``*`` marks a gap, a null side counts as empty.
 
+    With ``whole``, one row per utterance that has steps, its ``steps`` in an array of ``ref, hyp, kind``.
     Alignment costs far more than moving the texts, so utterances are first spread evenly (an explicit
     number of partitions keeps adaptive execution from merging them again).
     """
     spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nothing = F.array().cast("array<string>")
     pairs = pairs.repartition(spread, key).select(key, *[F.coalesce(side, nothing).alias(side) for side in ("ref", "hyp")])
-    steps = pairs.select(key, "ref", "hyp", F.posexplode(edit_steps("ref", "hyp")).alias("pos", "__step"))
-    ref_at = F.shiftright("__step", 32).cast("int")
-    hyp_at = F.col("__step").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    rows = steps.select(
-        key,
-        "pos",
-        F.coalesce(F.get("ref", ref_at - 1), F.lit(GAP)).alias("ref"),
-        F.coalesce(F.get("hyp", hyp_at - 1), F.lit(GAP)).alias("hyp"),
-        F.when(ref_at == 0, INSERTED).when(hyp_at == 0, DELETED).alias("__gap"),
-    )
-    kind = F.coalesce("__gap", F.when(F.col("ref") == F.col("hyp"), CORRECT).otherwise(SUBSTITUTED))
-    return rows.withColumn("kind", kind).drop("__gap")
+
+
+    def step(packed: Column) -> list[Column]:
+        ref_at, hyp_at = F.shiftright(packed, 32).cast("int"), packed.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        ref, hyp = F.coalesce(F.get("ref", ref_at - 1), F.lit(GAP)), F.coalesce(F.get("hyp", hyp_at - 1), F.lit(GAP))
+        kind = F.when(ref_at == 0, INSERTED).when(hyp_at == 0, DELETED).when(ref == hyp, CORRECT).otherwise(SUBSTITUTED)
+        return [ref.alias("ref"), hyp.alias("hyp"), kind.alias("kind")]
+
+    if whole:
+        aligned = pairs.select(key, F.transform(edit_steps("ref", "hyp"), lambda packed: F.struct(*step(packed))).alias("steps"))
+        return aligned.filter(F.size("steps") > 0)
+    packed = pairs.select(key, "ref", "hyp", F.posexplode(edit_steps("ref", "hyp")).alias("pos", "__step"))
+    return packed.select(key, "pos", *step(F.col("__step")))
 
 
 def error_summary(steps: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -86,25 +87,28 @@ def word_stats(steps: DataFrame) -> DataFrame:
 
 
 def utterance_details(steps: DataFrame, key: str = "utt_id") -> DataFrame:
-    """Each utterance as one line; a run of errors reads ``(reference->hypothesis)``."""
-    right = F.col("kind") == CORRECT
-    before = Window.partitionBy(key).orderBy("pos")
-    runs = steps.withColumn("__run", F.sum(right.cast("int")).over(before)).withColumn("__right", right)
-    pieces = _error_runs(runs, key)
-    text = F.when(F.col("__right"), F.col("ref")).otherwise(
-        F.concat(F.lit("("), F.coalesce(F.nullif(F.col("ref"), F.lit("")), F.lit(GAP)), F.lit("->"), F.coalesce(F.nullif(F.col("hyp"), F.lit("")), F.lit(GAP)), F.lit(")"))
-    )
-    return pieces.withColumn("__text", text).groupBy(key).agg(join_text("__text", ["pos"], " ").alias("detail"))
-
-
-def _error_runs(runs: DataFrame, key: str) -> DataFrame:
-    def side(name: str, gap_kind: str):
-        present = F.when(F.col("kind") != gap_kind, F.struct("pos", F.col(name).alias("__t")))
-        return F.array_join(F.transform(F.array_sort(F.collect_list(present)), lambda p: p["__t"]), " ")
-
-    return runs.groupBy(key, "__run", "__right").agg(
-        F.min("pos").alias("pos"), side("ref", INSERTED).alias("ref"), side("hyp", DELETED).alias("hyp")
-    )
+    """Each utterance as one line; a run of errors reads ``(reference->hypothesis)``.
+
+    Steps come as rows or, from ``align_words(whole=True)``, as whole utterances, which need not be gathered."""
+    if "steps" not in steps.columns:
+        in_order = F.array_sort(F.collect_list(F.struct("pos", "ref", "hyp", "kind")))
+        steps = steps.groupBy(key).agg(in_order.alias("steps"))
+    right = lambda at: F.get("steps", at)["kind"] == CORRECT
+    opens = lambda at: (at == 0) | (right(at) != right(at - 1))
+    begins = F.filter(F.sequence(F.lit(0), F.size("steps") - 1), opens)
+
+    def side(run: Column, name: str, gap_kind: str) -> Column:
+        joined = F.array_join(F.transform(F.filter(run, lambda step: step["kind"] != gap_kind), lambda step: step[name]), " ")
+        return F.coalesce(F.nullif(joined, F.lit("")), F.lit(GAP))
+
+    def piece(at: Column, place: Column) -> Column:
+        run = F.slice("steps", at + 1, F.coalesce(F.get("__begins", place + 1), F.size("steps")) - at)
+        said = F.array_join(F.transform(run, lambda step: step["ref"]), " ")
+        errors = F.concat(F.lit("("), side(run, "ref", INSERTED), F.lit("->"), side(run, "hyp", DELETED), F.lit(")"))
+        return F.when(right(at), said).otherwise(errors)
+
+    runs = steps.select(key, "steps", begins.alias("__begins"))
+    return runs.select(key, F.array_join(F.transform("__begins", piece), " ").alias("detail"))
 
 
 def stage_times(timings: DataFrame, value: str, keys: Sequence[str] = ("job", "stage")) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from speechtables.functions import alignment
 from speechtables.functions.alignment import edit_path
 from speechtables.operators import scoring as op
 from speechtables.sources import documents as doc
@@ -48,6 +49,25 @@ def test_long_paths():
         check([draw.choice("abcdefgh") for _ in range(n)], [draw.choice("abcdefgh") for _ in range(draw.randint(1, 2 * n))])
 
 
+def test_texts_worked_out_together_take_their_own_paths(monkeypatch):
+    draw = random.Random(2)
+    texts = [[draw.randrange(9) for _ in range(draw.choice((0, 1, 7, 8, 9, 40, 150)))] for _ in range(240)]
+    refs, hyps = texts[:120], texts[120:]
+    hyps[:60] = [[word for word in ref if draw.random() > 0.2] for ref in refs[:60]]
+    for lane, kept in ((1 << 11, 1 << 25), (48, 1 << 10)):
+        monkeypatch.setattr(alignment, "LANE_BYTES", lane)
+        monkeypatch.setattr(alignment, "KEPT_BYTES", kept)
+        for ref, hyp, path in zip(refs, hyps, alignment.edit_paths(refs, hyps)):
+            assert path.tolist() == edit_path(ref, hyp).tolist()
+
+
+def test_lines_of_whole_utterances_are_not_gathered(spark):
+    whole = op.utterance_details(op.align_words(pairs(spark), whole=True))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, op.utterance_details(op.align_words(pairs(spark))).collect()))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Aggregate" not in plan and "Window" not in plan
+
+
 def pairs(spark):
     rows = [(1, "a b c d".split(), "a x c d e".split()), (2, "a a".split(), []), (3, [], ["z"]), (4, ["q"], ["q"])]
     return spark.createDataFrame(rows, "utt_id bigint, ref array<string>, hyp array<string>")
