@@ -13,6 +13,7 @@ from speechtables.plans.ordered import with_ordinal
 from speechtables.session import cut_lineage
 
 MINUTE_US = 60_000_000
+SEGMENTS_PER_TASK = 1 << 12
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,9 +33,15 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of the segments, time shared out by characters."""
+    """Words of the segments, time shared out by characters.
+
+    Segments are dealt out before they become words, subwords or characters: those stay in their segment's task, which
+    gets so few segments, whatever the table's size, that its rows are sorted in memory.
+    """
     tokens = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
-    exploded = segments(spark, sf).select(
+    whole = segments(spark, sf)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole.count() // SEGMENTS_PER_TASK))
+    exploded = whole.repartition(tasks, "recording_id", "seq").select(
         "recording_id", "seq", "start_ms", F.posexplode(tokens).alias("pos", "word")
     )
     inside = Window.partitionBy("recording_id", "seq")

@@ -48,16 +48,12 @@ def subword_rows(spark, sf):
     """Pieces of up to four letters, marks on their own, a blank in front of every word, and the
     end-of-text token behind every segment."""
     pieces = F.expr(r"regexp_extract_all(concat(' ', word), '( ?[\\p{L}\\p{N}]{1,4}| ?[^\\p{L}\\p{N} ])', 1)")
-    rows = t.words(spark, sf).select(*SEGMENT, "pos", F.posexplode(pieces).alias("k", "subword"))
-    numbered = rows.select(
-        *SEGMENT, (F.row_number().over(inside().orderBy("pos", "k")) - 1).alias("tok"), "subword"
-    ).withColumn("token", F.expr("cast(100 + length(subword) * 31 + tok % 50 as bigint)"))
-    ending = numbered.groupBy(*SEGMENT).agg(
-        (F.max("tok") + 1).cast("int").alias("tok"),
-        F.lit("").alias("subword"),
-        F.lit(op.END_OF_TEXT).cast("bigint").alias("token"),
-    )
-    return numbered.unionByName(ending)
+    last = F.lead("pos").over(inside().orderBy("pos")).isNull()
+    ended = t.words(spark, sf).select(*SEGMENT, "pos", F.when(last, F.concat(pieces, F.array(F.lit("")))).otherwise(pieces).alias("pieces"))
+    rows = ended.select(*SEGMENT, "pos", F.posexplode("pieces").alias("k", "subword"))
+    numbered = rows.select(*SEGMENT, (F.row_number().over(inside().orderBy("pos", "k")) - 1).alias("tok"), "subword")
+    token = F.when(F.col("subword") == "", F.lit(op.END_OF_TEXT).cast("bigint")).otherwise(F.expr("cast(100 + length(subword) * 31 + tok % 50 as bigint)"))
+    return numbered.withColumn("token", token)
 
 
 _SUBWORDS = r"""plain_subwords as (select recording_id, seq, row_number() over (partition by recording_id, seq order by pos, k) - 1 as tok, subword

@@ -162,3 +162,18 @@ def test_missing_times(spark):
         last = end
     bare = spark.createDataFrame([(0, 0, None, None, "abcd")], df.schema)
     assert op.estimate_missing_times(bare).select(F.round("end", 6)).first()[0] == 0.4
+
+
+def test_segments_are_dealt_out_by_their_number_before_they_become_rows(spark, tmp_path, monkeypatch):
+    from speechtables.catalog import tables, words
+
+    turns = [(conv, turn, "user", f"one two, three {conv}") for conv in range(30) for turn in range(2)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(tables, "SEGMENTS_PER_TASK", 5, raising=False)
+    for name in ("char_words", "char_sentences", "repeats"):
+        plan = getattr(words, name)(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and ", 12), REPARTITION_BY_NUM" in plan
+    pieces = words.subword_rows(spark, str(tmp_path))
+    assert "Union" not in pieces._jdf.queryExecution().optimizedPlan().toString()
+    ends = pieces.filter("token = 50257").collect()
+    assert len(ends) == 60 and {(r.tok, r.subword) for r in ends} == {(6, "")}
