@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechtables.llm.common import batch_of, stored, utf8
+from speechtables.llm.common import batch_of, make_room, stored, utf8
 from speechtables.llm.components import components
 
 LEAST = (4, 5)
@@ -73,6 +73,7 @@ def _sets(documents: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("row", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             fp, n, keys = [], [], []
             for text in batch.column("text"):

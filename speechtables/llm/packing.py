@@ -22,7 +22,6 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from speechtables.llm.common import resident
+
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 _WORDS, _PIECES = 250_000, 500_000  # cached words and pieces per task
@@ -107,10 +108,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
-    """One encoder for all tasks of a worker."""
-    return Encoder(path)
+    """One encoder for all tasks of a worker, until another operator needs the room."""
+    return resident(f"packing {path}", lambda: Encoder(path))
 
 
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechtables.llm.common import batch_of, id_bucket, utf8
+from speechtables.llm.common import batch_of, id_bucket, make_room, utf8
 
 WORDS = 1 << 13  # buckets of hashed words, and as many of shapes
 BINS = 12
@@ -201,6 +201,7 @@ def score_texts(documents: DataFrame, machine: Machine, *keep: str, score: str =
     schema = documents.select(*keep).schema.add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         model, features = shared.value, Features()
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechtables.llm.common import batch_of, stored, utf8
+from speechtables.llm.common import batch_of, make_room, stored, utf8
 from speechtables.llm.components import components
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit, width
@@ -69,6 +69,7 @@ def fingerprints(documents: DataFrame, words: int = 3, seed: int = 42) -> DataFr
     schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             found = [simhash(t.as_py(), words, seed) for t in batch.column("text")]
             values = np.array(found, dtype=np.uint64).view(np.int64)

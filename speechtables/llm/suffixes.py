@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from speechtables.llm.common import NO_ID, stored
+from speechtables.llm.common import NO_ID, make_room, stored
 
 LENGTH = 50
 ANCHOR = 16
@@ -63,6 +63,7 @@ def chunked(documents: DataFrame, chunk_bytes: int) -> DataFrame:
     others = [c for c in documents.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         part, number = TaskContext.get().partitionId(), 0
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:

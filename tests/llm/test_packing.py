@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from speechtables.llm import packing
+from speechtables.llm import common, packing
 from tests.llm.helpers import documents, odd_texts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -91,3 +91,13 @@ def test_caches_stay_bounded(monkeypatch):
         texts = [" ".join(f"ab{i}c{j}" for j in range(9)) for i in range(9)]
         assert [np.frombuffer(b, "<u2").tolist() for b in encoder(texts)] == [plain_ids(t) for t in texts]
         assert len(encoder._words) <= 5 and len(encoder._pieces) <= 5
+
+
+def test_a_worker_keeps_one_encoder_until_other_operators_run(monkeypatch):
+    monkeypatch.setattr(common, "_RESIDENT", {})
+    kept = packing._encoder(PATH)
+    assert packing._encoder(PATH) is kept
+    common.make_room()
+    assert not common._RESIDENT and packing._encoder(PATH) is not kept
+    common.resident("other", object)
+    assert list(common._RESIDENT) == ["other"]

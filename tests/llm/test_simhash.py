@@ -3,6 +3,7 @@ import random
 import xxhash
 
 from speechtables.llm import simhash
+from speechtables.llm import components as component_steps
 from speechtables.llm.components import components
 from tests.llm.helpers import documents, least_reachable, odd_texts, prose
 
@@ -61,3 +62,17 @@ def test_components_of_chains_loops_and_stars(spark):
     frame = spark.createDataFrame(edges, "u bigint, v bigint")
     got = {r["node"]: r["root"] for r in components(frame).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 300: 200}
+
+
+def test_rounds_write_as_many_files_as_their_edges_need(spark, monkeypatch):
+    files, plain = [], component_steps.cut_lineage
+    monkeypatch.setattr(component_steps, "cut_lineage", lambda df: files.append(df.rdd.getNumPartitions()) or plain(df))
+    monkeypatch.setattr(component_steps, "_TASK_EDGES", 20)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = spark.createDataFrame([(i, i + 1) for i in range(20)], "u bigint, v bigint")
+        got = {r["node"]: r["root"] for r in components(frame).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: 0 for i in range(21)}
+    assert max(files[1:]) <= 2 < files[0]
