@@ -58,16 +58,19 @@ _KIND = {"no_doc": "u1", "held": "u1", "base": "<f8", "hash": "<u8"}
 
 
 def pack(values: np.ndarray, kind: str = "<i8") -> bytes:
-    """Numbers by byte planes, compressed."""
+    """Numbers by byte planes, compressed, after their width in bytes; longs without a high half are stored as 32 bits."""
     values = np.ascontiguousarray(values, kind)
+    if kind == "<i8" and len(values) and values.view("<u8").max() < 1 << 32:
+        values = values.astype("<u4")
     planes = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+    return bytes([values.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpack(data: bytes, kind: str = "<i8") -> np.ndarray:
-    planes = zstandard.ZstdDecompressor().decompress(data)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    width = data[0]
+    planes = zstandard.ZstdDecompressor().decompress(memoryview(data)[1:])
+    stored_as = kind if width == np.dtype(kind).itemsize else f"<u{width}"
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(stored_as).ravel().astype(kind, copy=False)
 
 
 def _rows(rows: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch:
@@ -226,7 +229,7 @@ _LOW = np.uint64((1 << 21) - 1)
 
 def _dealt(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Places of the keys of each shard, in their order."""
-    shard = (keys % np.uint64(shards)).astype(np.int64)
+    shard = (keys % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)  # 16 bits are sorted by digits
     order = np.argsort(shard, kind="stable")
     edge = np.searchsorted(shard[order], np.arange(shards + 1))
     for k in np.flatnonzero(np.diff(edge)).tolist():

@@ -148,3 +148,20 @@ def test_no_rows_and_no_training_rows(spark):
     held = [i for i in range(60) if crc32(str(i).encode()) % 7 == 2][:3]
     given = [(i, t) for i, t in zip(held, ["a b", None, ""])]
     same(rows(ngrams.scored(documents(spark, [t for _, t in given], ids=held))[0]), plain(given))
+
+
+def test_longs_without_a_high_half_are_stored_as_32_bits():
+    draw = np.random.default_rng(3)
+    for top, width in ((1 << 20, 4), (1 << 32, 4), (1 << 40, 8)):
+        values = np.r_[draw.integers(0, top, 500), top - 1]
+        data = ngrams.pack(values)
+        assert data[0] == width and ngrams.unpack(data).dtype == np.int64 and (ngrams.unpack(data) == values).all()
+    for kind, values in (("<i8", [-1, 5]), ("<i8", []), ("<f8", [0.5, -2]), ("u1", [1, 0]), ("<u8", [1, 1 << 63]), ("<u4", [7])):
+        assert ngrams.unpack(ngrams.pack(np.array(values, kind), kind), kind).tolist() == values
+
+
+def test_keys_are_dealt_in_order_to_many_shards():
+    keys = np.random.default_rng(4).integers(0, 1 << 63, 3000, np.uint64)
+    for shards in (7, 1 << 16, (1 << 16) + 1):
+        for shard, places in ngrams._dealt(keys, shards):
+            assert places.tolist() == np.flatnonzero(keys % np.uint64(shards) == shard).tolist()
