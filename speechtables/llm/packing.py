@@ -22,30 +22,27 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from itertools import chain, filterfalse, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from speechtables.llm.common import resident, slices
+from speechtables.llm.common import resident
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 _WORDS, _PIECES = 250_000, 500_000  # cached words and pieces per task
 _LONG = 48  # longer words are not cached
-_SLICE = 1 << 22  # letters that are encoded at once
 
 # The pre-tokeniser's pattern of word_bpe_49k.json on lower-case Latin-1 text (fixed by that file).
 _LATIN = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
 )
-_SEPARATORS = r"[\x1c-\x1f]"
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class Encoder:
@@ -66,17 +63,13 @@ class Encoder:
         self._words: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
 
-    def _encoded(self, text: str) -> list[int]:
-        """The tokenizer's ids, without the offsets that ``encode`` works out too."""
-        return self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
     def _whole(self, text: str) -> bytes:
-        return np.array(self._encoded(text), "<u2").tobytes()
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 4096):
             part = pieces[at : at + 4096]
-            ids = np.array(self._encoded(" ".join(part)), "<u2")
+            ids = np.array(self._tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u2")
             ends = np.flatnonzero(self._closes[ids]) + 1
             if len(ends) == len(part):
                 raw, start = ids.tobytes(), 0
@@ -86,17 +79,25 @@ class Encoder:
             else:
                 self._pieces.update((piece, self._whole(piece)) for piece in part)
 
-    def _looked_up(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words."""
-        unknown = list(filterfalse(self._words.__contains__, words))
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split: list[list[str] | None] = []
+        unknown: set[str] = set()
+        for text in texts:
+            if (not text.isascii() and max(text) > "\xff") or _SEPARATORS.search(text):
+                split.append(None)
+                continue
+            words = text.split()
+            unknown.update(set(words).difference(self._words))
+            split.append(words)
         cut = {word: _LATIN.findall(word.lower()) for word in unknown}
-        pieces = set(chain.from_iterable(cut.values()))
+        pieces = {p for parts in cut.values() for p in parts}
         self._learn_pieces([p for p in pieces if p not in self._pieces])
         known = self._pieces
         self._words.update((word, b"".join([known[p] for p in parts])) for word, parts in cut.items())
-        out = list(map(self._words.__getitem__, words))
+        lookup = self._words.__getitem__
+        out = [self._whole(t) if w is None else b"".join(map(lookup, w)) for t, w in zip(texts, split)]
         for cache, most in ((self._words, _WORDS), (self._pieces, _PIECES)):
-            for key in list(islice(reversed(cache), max(0, len(cache) - most))):  # the latest
+            for key in list(cache)[most:] if len(cache) > most else ():
                 del cache[key]
         for word in unknown:
             if len(word) > _LONG:
@@ -106,32 +107,6 @@ class Encoder:
                 known.pop(piece, None)
         return out
 
-    def _by_words(self, texts: pa.Array) -> list[bytes]:
-        """The ids of Latin-1 texts: distinct words are looked up, their ids dealt out by number."""
-        split = pc.utf8_split_whitespace(texts)
-        coded = split.flatten().dictionary_encode()
-        found = self._looked_up(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 2
-        ids, first = np.frombuffer(b"".join(found), "<u2"), np.cumsum(size) - size
-        word = coded.indices.to_numpy()
-        last = np.cumsum(size[word])
-        at = np.arange(last[-1] if len(last) else 0) + np.repeat(first[word] - last + size[word], size[word])
-        edge = np.cumsum(np.r_[0, pc.list_value_length(split).to_numpy()])
-        edge = 2 * np.r_[0, last][edge]
-        raw = ids[at].tobytes()
-        return [raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-
-    def __call__(self, texts: pa.Array | list[str]) -> list[bytes]:
-        """The ids of strings without nulls."""
-        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        odd = pc.match_substring_regex(texts, _SEPARATORS).to_numpy(zero_copy_only=False).copy()
-        for i in np.flatnonzero(~pc.string_is_ascii(texts).to_numpy(zero_copy_only=False)).tolist():
-            odd[i] |= max(texts[i].as_py()) > "\xff"
-        if not odd.any():
-            return self._by_words(texts)
-        plain = iter(self._by_words(texts.filter(pa.array(~odd))))
-        return [self._whole(texts[i].as_py()) if o else next(plain) for i, o in enumerate(odd.tolist())]
-
 
 def _encoder(path: str) -> Encoder:
     """One encoder for all tasks of a worker, until another operator needs the room."""
@@ -268,13 +243,15 @@ def packed(
             return pa.RecordBatch.from_arrays([*arrays, *([pa.array(columns[9], pa.binary())] if ids else [])], names=[*names, *(["ids"] if ids else [])])
 
         end = np.array([END_ID], "<u2").tobytes()
-        for part in slices(batches, _SLICE, "text"):
-            for number, body in zip(part.column("doc_id").to_pylist(), encoder(part.column("text"))):
-                held_ids.append(number)
-                held.append(body + end)
-                tokens += len(body) // 2 + 1
-                if tokens >= block_tokens:
-                    yield flush()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, min(512, batch.num_rows - at))
+                for number, body in zip(part.column("doc_id").to_pylist(), encoder(part.column("text").to_pylist())):
+                    held_ids.append(number)
+                    held.append(body + end)
+                    tokens += len(body) // 2 + 1
+                    if tokens >= block_tokens:
+                        yield flush()
         if held:
             yield flush()
 
