@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +29,11 @@ def score_chunks(chunks: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFram
     return chunks.mapInPandas(run, schema)
 
 
-def result_lines(segments: DataFrame) -> DataFrame:
-    """One JSON document per segment."""
-    return segments.select(F.to_json(F.struct(*segments.columns), {"ignoreNullFields": "false"}).alias("value"))
+def result_lines(segments: DataFrame, needs: Sequence[str] = ()) -> DataFrame:
+    """One JSON document per segment; the line of one that lacks a field of ``needs`` is null."""
+    line = F.to_json(F.struct(*segments.columns), {"ignoreNullFields": "false"})
+    lacks = reduce(or_, [F.col(n).isNull() for n in needs], F.lit(False))
+    return segments.select(F.when(~lacks, line).alias("value"))
 
 
 def speech_sessions(regions: DataFrame, threshold: str, late: str, key: str = "recording_id", start: str = "start", length_us: str = "length_us") -> DataFrame:

@@ -116,3 +116,15 @@ def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path, files):
     assert streams.stream(spark, str(tmp_path / "in"), "conversations").isStreaming
     got = {tuple(r) for r in streams.incremental(spark, str(tmp_path / "in")).select("recording_id", "seq", "text").collect()}
     assert got == {(c, a, " ".join(f"w{c}-{b}" for b in range(a, min(a + 2, 5))) + " ") for c in range(4) for a in (0, 2, 4)}
+
+
+def test_missing_and_empty_chunks_have_lines(spark, tmp_path):
+    from speechtables.catalog import streams
+
+    rows = [(1, "hé", "en"), (2, "", "en"), (3, None, "en"), (4, "a", None), (None, "a", "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = [r.value for r in streams.chunk_results(spark, str(tmp_path)).collect()]
+    assert sorted(json.loads(v)["chunk_id"] for v in found if v) == [1, 2] and len(found) == 5
+    lines = {json.loads(v)["chunk_id"]: v for v in found if v}
+    assert lines[1] == '{"chunk_id":1,"source_lang":"en","n_bytes":3,"first_byte":104}'
+    assert lines[2] == '{"chunk_id":2,"source_lang":"en","n_bytes":0,"first_byte":null}'
