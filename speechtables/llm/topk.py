@@ -6,8 +6,8 @@ the block of the longest vectors, which gives a lower bound of its k-th score. T
 meet once each; in a pair, a query's bound divided by its length and the block's greatest length is its
 local cosine threshold. Over 1, the block is left out. When it is high, coordinate pruning keeps vectors whose
 largest coordinates lie in the interval the threshold allows; otherwise length pruning keeps vectors that
-are long enough. What remains is verified with exact integer products, and a block passes on at most k rows
-per query.
+are long enough. What remains is verified with exact integer products, and a group of blocks passes on at most k
+rows per query.
 
 Defined cases: a null vector, or one with a null or non-finite component, takes no part; vectors are only
 compared with vectors of the same dimension (empty ones score 0); rows with the query's own id are not
@@ -124,45 +124,72 @@ def survivors(block: Block, unit: np.ndarray, query: np.ndarray, norm: float, bo
     return np.flatnonzero(keep)
 
 
+def _best(queries: Block, block: Block, unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best in one block: query ids, vector ids, scores."""
+    asked, found, scores = [], [], []
+    for i, query in enumerate(queries.vectors):
+        rows = survivors(block, unit, query, queries.norms[i], queries.bounds[i])
+        ids = block.ids[rows]
+        score = _products(block.vectors[rows], query)
+        other = ids != queries.ids[i]
+        ids, score = ids[other], score[other]
+        if len(ids) > k:
+            least = np.partition(score, len(score) - k)[len(score) - k]
+            ids, score = ids[score >= least], score[score >= least]
+        best = np.lexsort((ids, -score))[:k]
+        asked.append(np.full(len(best), queries.ids[i]))
+        found.append(ids[best])
+        scores.append(score[best])
+    return tuple(np.concatenate(x).astype(np.int64) for x in (asked, found, scores))
+
+
 def _meet(k: int):
-    """Rows that hold a query block (q_ columns) and a vector block: each query's k best in that block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                queries, block = Block(row, "q_"), Block(row, "")
-                unit = block.vectors / np.where(block.norms > 0, block.norms, 1.0)[:, None]
-                asked, found, scores = [], [], []
-                for i, query in enumerate(queries.vectors):
-                    rows = survivors(block, unit, query, queries.norms[i], queries.bounds[i])
-                    ids = block.ids[rows]
-                    score = _products(block.vectors[rows], query)
-                    other = ids != queries.ids[i]
-                    ids, score = ids[other], score[other]
-                    if len(ids) > k:
-                        least = np.partition(score, len(score) - k)[len(score) - k]
-                        ids, score = ids[score >= least], score[score >= least]
-                    best = np.lexsort((ids, -score))[:k]
-                    asked.append(np.full(len(best), queries.ids[i]))
-                    found.append(ids[best])
-                    scores.append(score[best])
-                arrays = [pa.array(np.concatenate(x).astype(np.int64)) for x in (asked, found, scores)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "score"])
+    """The query blocks and vector blocks of a pair of groups: each query's k best in that group of vectors."""
+
+    def run(queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        told = [np.zeros((3, 0), np.int64)]
+        askers = [Block(row, "") for row in queries.to_pylist()]
+        for row in blocks.to_pylist() if askers else []:
+            block = Block(row, "")
+            unit = block.vectors / np.where(block.norms > 0, block.norms, 1.0)[:, None]
+            told.extend(np.stack(_best(each, block, unit, k)) for each in askers)
+        asked, found, scores = np.concatenate(told, axis=1)
+        order = np.lexsort((found, ~scores, asked))  # ~ turns the order without leaving the range of longs
+        asked, found, scores = asked[order], found[order], scores[order]
+        first = np.flatnonzero(np.r_[True, asked[1:] != asked[:-1]]) if len(asked) else np.zeros(0, np.int64)
+        place = np.arange(len(asked)) - np.repeat(first, np.diff(np.r_[first, len(asked)]))
+        arrays = [pa.array(x[place < k]) for x in (asked, found, scores)]
+        return pa.Table.from_arrays(arrays, names=["query_id", "vec_id", "score"])
 
     return run
 
 
 _FOUND = "query_id bigint, vec_id bigint, score bigint"
+#: Bytes of a group of query blocks and of vector blocks, about; most tasks that pairs of groups are dealt to.
+_QUERY_BYTES, _VECTOR_BYTES, _TASKS = 16 << 20, 4 << 20, 1024
 
 
 def _pairs(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """Every query block beside every vector block of its dimension, each pair a key of its own."""
-    left = queries.select(F.col("block").alias("q_block"), "dims", *[F.col(c).alias(f"q_{c}") for c in ("ids", "norms", "bounds", "vectors")])
-    names = lambda df, name: df.groupBy("dims").agg(F.collect_list(name).alias("others"))
-    to_blocks = left.join(names(blocks.select("dims", "block"), "block"), "dims").withColumn("block", F.explode("others")).drop("others")
-    to_queries = blocks.join(names(left.select("dims", "q_block"), "q_block"), "dims").withColumn("q_block", F.explode("others")).drop("others", "dims", "bounds", "longest")
-    to_queries = to_queries.withColumn("bounds", F.lit(b""))
-    return to_blocks.drop("dims").join(to_queries, ["block", "q_block"]).mapInArrow(_meet(k), _FOUND)
+    """Every query block meets every vector block of its dimension, group by group.
+
+    A block is copied once for every group of the other side, and the copies meet by cogroups, which are always
+    shuffled: a join would take a table of copies for as small as the blocks that they are copies of, and broadcast it.
+    """
+    size = F.sum(F.length("vectors") + F.length("ids")).cast("double")
+    groups = lambda df, most, name: df.groupBy("dims").agg(F.greatest(F.ceil(size / most), F.lit(1)).cast("int").alias(name))
+    both = groups(queries, _QUERY_BYTES, "q_groups").join(groups(blocks, _VECTOR_BYTES, "v_groups"), "dims")
+    meetings = both.agg(F.sum(F.col("q_groups").cast("bigint") * F.col("v_groups"))).first()[0] or 0
+    tasks = int(min(_TASKS, 2 * meetings + 1))
+    keys = ["dims", "q_group", "v_group"]
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        placed = rows.join(F.broadcast(both), "dims").withColumn(f"{own}_group", F.pmod(F.xxhash64("block"), F.col(f"{own}_groups")))
+        copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_groups").cast("bigint") - 1))
+        return placed.select(F.col(f"{own}_group").cast("bigint").alias(f"{own}_group"), copies.alias(f"{other}_group"), *rows.columns)
+
+    # a pair of groups is little data and much work: adaptive execution must not put many into one task
+    left, right = (dealt(*side).repartition(tasks, *keys).groupBy(*keys) for side in ((queries, "q", "v"), (blocks, "v", "q")))
+    return left.cogroup(right).applyInArrow(_meet(k), _FOUND)
 
 
 def top_k(
@@ -187,7 +214,7 @@ def top_k(
 
     first = blocks.groupBy("dims").agg(F.max_by("block", F.struct("longest", "block")).alias("block")).select("block")
     longest = blocks.join(first, "block", "left_semi")
-    plain = _blocks(queries.withColumn("bound", none), F.lit(0), query_rows)
+    plain = stored(_blocks(queries.withColumn("bound", none), F.lit(0), query_rows), "topk-plain")
     opened = _pairs(plain, longest, k)
     bounds = opened.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
     known = queries.join(bounds, queries["vec_id"] == bounds["query_id"], "left").withColumn(

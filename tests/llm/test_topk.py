@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -56,3 +57,27 @@ def test_empty_table_and_few_rows(spark):
     assert found(spark, []) == {}
     assert found(spark, [(0, [1.0]), (1, [2.0])]) == {0: [(1, 1, 256 * 512)]}
     assert found(spark, [(0, [1.0])]) == {}
+
+
+def test_copies_of_blocks_are_not_broadcast(spark, monkeypatch):
+    draw = np.random.default_rng(11)
+    rows = [(i, v.tolist()) for i, v in enumerate(draw.normal(size=(900, 6)))]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(topk, "_QUERY_BYTES", 1 << 8, raising=False)  # many groups
+    monkeypatch.setattr(topk, "_VECTOR_BYTES", 1 << 12, raising=False)
+    best = topk.top_k(frame, F.col("vec_id") % 50 == 0, block_rows=64, query_rows=4)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for r in best.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    for q, own in good[::50]:
+        scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in good if i != q)
+        assert found[q] == [(rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:5])]
+    # a broadcast passes through the driver: no copies of blocks are below one
+    indent = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = plan.split("\n")
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            inside = itertools.takewhile(lambda x: indent(x) > indent(line), lines[at + 1 :])
+            assert not any("Generate" in x for x in inside)
