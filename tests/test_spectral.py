@@ -109,3 +109,48 @@ def test_recordings_beyond_a_dense_matrix_stay_in_tasks(spark, monkeypatch):
     counts = op.neighbour_search(rows, task_rows=8)
     assert {r.recording_id: r.asDict() for r in counts.collect()} == wanted
     assert op.cluster_speakers(rows, counts).count() == sum(map(len, data.values()))
+
+
+def as_part(vectors):
+    import pandas as pd
+
+    return pd.DataFrame({"vectors": [[v] for v in vectors], "owners": [[i] for i in range(len(vectors))], "lo": None, "hi": None})
+
+
+def test_search_solves_what_the_choice_takes(monkeypatch):
+    import pandas as pd
+
+    from speechtables.plans import bitgraph
+
+    monkeypatch.setattr(bitgraph, "BLOCK_CELLS", 1 << 12)
+    monkeypatch.setattr(bitgraph, "LISTED_ROWS", 8)  # some graphs by lists, some by bits
+    draw = np.random.default_rng(6)
+    ring = np.c_[np.cos(np.arange(90) * 2 * np.pi / 90 + draw.uniform(0, 0.02, 90)), np.sin(np.arange(90) * 2 * np.pi / 90)]
+    made = [blobs(1, [70, 60, 50])[0], blobs(2, [100, 60], noise=0.03)[0], draw.standard_normal((150, 16)), ring, draw.standard_normal((9, 4)), blobs(3, [60, 50], noise=0.25)[0]]
+    made.append(np.round(np.repeat(made[0][:60], 3, axis=0) * 16) / 16)  # equal rows
+    solved, problems, walks = [], 0, set()
+    plain = op.least_eigenvalues
+
+    def counted(*a, **kw):
+        found = plain(*a, **kw)
+        solved.append(found is not None)
+        return found
+
+    monkeypatch.setattr(op, "least_eigenvalues", counted)
+    for vectors in made:
+        vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        part, n = as_part(vectors), len(vectors)
+        steps = np.unique(op.search_list(n, 0.25, 30))
+        affinity = op.fused_affinity(part, (1.0,))
+        rows = [(int(p), *op.eigen_gap(affinity, int(p), 8), *(op.is_connected(op.neighbour_graph(affinity, q)) for q in (int(p), 1))) for p in steps]
+        wanted = pd.DataFrame(rows, columns=["p", "ratio", "speakers", "connected", "connected_at_one"])
+        assert op.bit_search(part, (1.0,), steps, 8) == op.search_pick(wanted, max(int(n * 0.25), 2))
+        walks.add(bool(wanted["connected"].iloc[wanted["ratio"].argmin()]))
+        problems += len(steps)
+        for p, degree in zip(steps, bitgraph.degrees(part, (1.0,), [int(p) for p in steps])):
+            graph = bitgraph.BitGraph(part, (1.0,), int(p))
+            off = op.neighbour_graph(affinity, int(p)) * (1 - np.eye(n))
+            assert np.allclose(graph.degree, degree) and (graph.out is None) == (p * 8 > n)
+            assert np.allclose(graph.times(np.eye(n)), np.diag(off.sum(1)) - off)
+    assert walks == {True, False}
+    assert sum(solved) < 0.75 * problems  # far fewer in larger recordings, where bounds are closer
