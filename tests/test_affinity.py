@@ -157,3 +157,25 @@ def test_scorer_must_answer_every_window(spark):
     assert op.score_batches(df, lambda b: b.assign(score=1.0), "seg_idx bigint, score double").count() == 5
     with pytest.raises(Exception, match="Mismatch of counts"):
         op.score_batches(df, lambda b: b.assign(score=1.0).iloc[1:], "seg_idx bigint, score double").count()
+
+
+def test_best_columns_are_those_of_a_stable_sort():
+    from speechtables.plans.tiles import best_columns
+
+    draw = np.random.default_rng(4)
+    for block in (draw.standard_normal((9, 70)), draw.integers(0, 5, (9, 70)).astype(float)):
+        for p in (1, 4, 69, 70):
+            assert (best_columns(block, p) == np.argsort(-block, axis=1, kind="stable")[:, :p]).all()
+
+
+def test_tiles_are_copied_once_for_every_wide_tile(spark):
+    from speechtables.plans.tiles import WIDER, tile_pairs
+
+    rows = cut_lineage(op.single_scale(table(spark, {0: blobs(1, [200, 150])[0], 1: blobs(2, [3])[0]})))
+    pairs = tile_pairs(rows, ["recording_id"], tile=4).groupBy("recording_id", "__wide").count().collect()
+    left, right = -(-350 // 4), -(-350 // (4 * WIDER))
+    assert {(r.recording_id, r["__wide"]): r["count"] for r in pairs} == {(0, False): left * right, (0, True): right, (1, False): 1, (1, True): 1}
+    edges = op.neighbour_edges(rows, 5, tile=4).toPandas()
+    s = dense(blobs(1, [200, 150])[0])
+    got = edges[edges.recording_id == 0].sort_values(["i", "rank"]).j.to_numpy().reshape(-1, 5)
+    assert (got == np.argsort(-s, axis=1, kind="stable")[:, :5]).all()
